@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate
+from . import decontaminate, language, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op9_decontaminate": decontaminate.query}
+    return {
+        "op5_language_id": language.query,
+        "op8_toxicity": toxicity.query,
+        "op9_decontaminate": decontaminate.query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
