@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, substrings, toxicity
+from . import decontaminate, language, neardup, substrings, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_neardup": neardup.query,
         "op4_repeated_substrings": substrings.query,
         "op5_language_id": language.query,
         "op8_toxicity": toxicity.query,
