@@ -22,12 +22,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows with their lineage cut by a checkpoint in the folder that all executors share."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables that all executors share."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         # spark.checkpoint.dir is the cluster's shared folder; a local one is only for local sessions that name none.
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vecforge-ckpt-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows with their lineage cut by a checkpoint in the folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 

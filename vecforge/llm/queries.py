@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, language, neardup, pii, substrings, toxicity
+from . import decontaminate, language, neardup, pii, substrings, token_files, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_neardup": neardup.query,
+        "op2_token_files": token_files.query,
         "op3_pii": pii.query,
         "op4_repeated_substrings": substrings.query,
         "op5_language_id": language.query,
