@@ -212,8 +212,11 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
-    marked = find(documents, benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("_hit")).distinct()
-    return documents.join(marked, documents["doc_id"].eqNullSafe(marked["_hit"]), "left_anti")
+    key = F.xxhash64("doc_id", "text", F.isnull("doc_id"))
+    marked = find(documents.select(key.alias("doc_id"), "text"), benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit")).distinct()
+    # The row is kept whole in a struct, so that no column's name can clash.
+    rows = documents.select(F.struct("*").alias("row"), key.alias("key"))
+    return rows.join(marked, F.col("key") == F.col("hit"), "left_anti").select("row.*")
 
 
 def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -237,10 +237,11 @@ def groups(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
 
 def dedup(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """One document of each group, with all columns; of rows that repeat a kept doc_id and text, one."""
-    kept = groups(documents, k, num, den).where("kept or n_shingles = 0").select("k1", "k2").distinct()
-    key = {"_k1": F.coalesce(F.col("doc_id"), F.lit(0)).cast("long"), "_k2": F.xxhash64("doc_id", "text", F.isnull("doc_id"))}
-    joined = documents.withColumns(key).join(kept, (F.col("_k1") == F.col("k1")) & (F.col("_k2") == F.col("k2")), "left_semi")
-    return joined.dropDuplicates(["_k1", "_k2"]).select(*documents.columns)
+    kept = groups(documents, k, num, den).where("kept or n_shingles = 0 or component_id is null").select(F.col("k1").alias("kept1"), F.col("k2").alias("kept2")).distinct()
+    # The row is kept whole in a struct, so that no column's name can clash.
+    rows = documents.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("key1"), F.xxhash64("doc_id", "text", F.isnull("doc_id")).alias("key2"))
+    same = (F.col("key1") == F.col("kept1")) & (F.col("key2") == F.col("kept2"))
+    return rows.join(kept, same, "left_semi").dropDuplicates(["key1", "key2"]).select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -229,20 +229,22 @@ def joined(spans: str) -> Column:
 
 def redact(documents: DataFrame) -> DataFrame:
     """The same rows and columns; in text, every span found is replaced by its kind in brackets."""
-    found = find(documents).where(F.size("all") > 0).select(F.coalesce("doc_id", F.lit(0)).alias("_k1"), F.col("k2").alias("_k2"), F.col("all").alias("_all")).dropDuplicates(["_k1", "_k2"])
-    keyed = documents.withColumns({"_j1": F.coalesce(F.col("doc_id"), F.lit(0)), "_j2": F.xxhash64("doc_id", F.coalesce("text", F.lit("")), F.isnull("doc_id"))})
-    both = keyed.join(found, (F.col("_j1") == F.col("_k1")) & (F.col("_j2") == F.col("_k2")), "left")
+    found = find(documents).where(F.size("all") > 0).select(F.coalesce("doc_id", F.lit(0)).alias("found1"), F.col("k2").alias("found2"), F.col("all").alias("spans")).dropDuplicates(["found1", "found2"])
+    # The row is kept whole in a struct, so that no column's name can clash.
+    text = F.coalesce("text", F.lit(""))
+    rows = documents.select(F.struct("*").alias("row"), F.coalesce("doc_id", F.lit(0)).alias("key1"), F.xxhash64("doc_id", text, F.isnull("doc_id")).alias("key2"))
+    both = rows.join(found, (F.col("key1") == F.col("found1")) & (F.col("key2") == F.col("found2")), "left")
     # Overlapping spans of several kinds: a piece starts where all spans before it have ended, and shows the first's kind.
     pieces = F.transform(
-        "_all",
+        "spans",
         lambda s: F.concat(
-            F.substring("text", (s["reach"] + 1).cast("int"), F.greatest(s["start"] - s["reach"], F.lit(0)).cast("int")),
+            F.substring("row.text", (s["reach"] + 1).cast("int"), F.greatest(s["start"] - s["reach"], F.lit(0)).cast("int")),
             F.when(s["start"] >= s["reach"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(F.lit("")),
         ),
     )
-    rest = F.expr("substring(text, cast(greatest(element_at(_all, -1).reach, element_at(_all, -1).end) as int) + 1)")
-    out = both.withColumn("text", F.when(F.col("_all").isNull(), F.col("text")).otherwise(F.concat(F.array_join(pieces, ""), rest)))
-    return out.select(*documents.columns)
+    rest = F.expr("substring(row.text, cast(greatest(element_at(spans, -1).reach, element_at(spans, -1).end) as int) + 1)")
+    new = F.when(F.col("spans").isNull(), F.col("row.text")).otherwise(F.concat(F.array_join(pieces, ""), rest))
+    return both.select(F.col("row").withField("text", new).alias("row")).select("row.*").select(*documents.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
