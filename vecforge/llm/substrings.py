@@ -8,8 +8,9 @@ A byte goes if a string of LEAST bytes that covers it starts anywhere else too.
    repeated wholly.
 2. Where an anchor has several classes, the windows of one context of each class are suffix-sorted: a mergesort whose
    comparisons find common extensions by binary search over prefix polynomial hashes. Neighbours that agree in LEAST bytes
-   are verified byte by byte. Classes of an anchor with very many are dealt to several sorts, each of which passes one
-   representative of each window on by its digest, to meet those of the others in a pre-aggregated shuffle.
+   are verified byte by byte. Contexts are cut in two halves of windows that share bytes on one side of the anchor; only
+   classes that agree there are sorted together. Where very many agree, they are dealt to several sorts, each of which passes
+   one representative of each window on by its digest, to meet those of the others in a pre-aggregated shuffle.
 3. Repeated windows go back to the documents as byte ranges, which are united and cut out.
 
 Defined cases: null and empty texts have no bytes and nothing removed. Rows that repeat id and text count as different
@@ -29,8 +30,8 @@ from .common import Powers, chunks, cut, mixed, table, text_buffer
 
 #: Bytes of a repeated string, and of the grams whose least hash is a window's anchor.
 LEAST, GRAM = 400, 200
-#: Classes of an anchor that one sort takes, and classes of a bucket of sorts (about a megabyte of contexts).
-ANCHOR_CLASSES, BUCKET_CLASSES = 512, 1500
+#: Classes of a half that one sort takes, and classes of a bucket of sorts (about a megabyte of contexts).
+SORTED_CLASSES, BUCKET_CLASSES = 512, 1500
 
 
 def prefix_hashes(x: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
@@ -160,7 +161,7 @@ def compare_windows(least: int):
 
     def run(contexts: pa.Table) -> pa.Table:
         powers = Powers()
-        h, c = (np.array(contexts.column(k).to_numpy()) for k in ("h", "c"))
+        h, c, half = (np.array(contexts.column(k).to_numpy()) for k in ("h", "c", "half"))
         near, far = (contexts.column(k).to_numpy().astype(np.int64) for k in ("near", "far"))
         hot = contexts.column("hot").to_numpy(zero_copy_only=False).astype(bool)
         texts = contexts.column("context").to_pylist()
@@ -171,7 +172,7 @@ def compare_windows(least: int):
         d = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + near[owner]
         start = at[owner] + far[owner] - d
         # Equal windows have the same anchor at the same distance.
-        group = np.unique(h, return_inverse=True)[1][owner] * (least + 1) + d
+        group = np.unique(half, return_inverse=True)[1][owner] * (least + 1) + d
         order = suffix_sort(x, start, group, least, powers)
         same = equal_neighbours(x, start, group, order, least)
         twice = same | np.append(same[1:], False)
@@ -222,23 +223,41 @@ def packed(documents: DataFrame) -> DataFrame:
     return keyed(documents).mapInArrow(run, "doc_id long, k1 long, k2 long, n_bytes long, z binary")
 
 
-def contexts(documents: DataFrame, classes: DataFrame, least: int) -> DataFrame:
-    """The bytes of one context of each class."""
-    wanted = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "place", "far", "near", "salt", "hot")).alias("own"))
-    fields = ("h", "c", "place", "far", "near", "salt", "hot")
+CONTEXTS = "h long, c long, half long, far int, near int, context binary"
+
+
+def contexts(documents: DataFrame, classes: DataFrame, least: int, gram: int) -> DataFrame:
+    """The bytes of one context of each class, in two halves.
+
+    Windows that start at most (least - gram) / 2 before the anchor all hold the same bytes behind its gram, the others
+    the same bytes before it. half is a hash of those bytes: equal windows agree in it, so that only classes that do
+    need to be compared.
+    """
+    fields = ("h", "c", "place", "far", "near")
+    wanted = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields)).alias("own"))
+    mid = (least - gram) // 2
+
+    def halves(text: bytes, o: dict) -> list[tuple]:
+        at, out = o["place"], []
+        for side, far, near in ((0, min(o["far"], mid), o["near"]), (1, o["far"], max(o["near"], mid + 1))):
+            if near <= far:
+                shared = text[at - mid - 1 : at] if side else text[at + gram : at + least - mid]
+                digest = hashlib.blake2b(shared, digest_size=8, key=o["h"].to_bytes(8, "little", signed=True), person=bytes([side])).digest()
+                out.append((o["h"], o["c"], int.from_bytes(digest, "little", signed=True), far, near, text[at - far : at - near + least]))
+        return out
 
     def run(batches):
         codec = pa.Codec("zstd")
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             for size, z, own in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 text = codec.decompress(z, size, asbytes=True)
-                cols = {f: [o[f] for o in own] for f in fields}
-                parts = [text[o["place"] - o["far"] : o["place"] - o["near"] + least] for o in own]
-                yield pa.RecordBatch.from_arrays([pa.array(cols["h"]), pa.array(cols["c"]), pa.array(cols["far"], pa.int32()), pa.array(cols["near"], pa.int32()), pa.array(cols["salt"]), pa.array(cols["hot"]), pa.array(parts, pa.binary())], ["h", "c", "far", "near", "salt", "hot", "context"])
+                rows = [x for o in own for x in halves(text, o)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["h", "c", "half", "far", "near", "context"])
 
     # Rows that repeat id and text share a key; one of them will do.
     joined = packed(documents).join(wanted, ["k1", "k2"]).select("n_bytes", "z", "own")
-    return joined.mapInArrow(run, "h long, c long, far int, near int, salt long, hot boolean, context binary").dropDuplicates(["h", "c"])
+    return joined.mapInArrow(run, CONTEXTS).dropDuplicates(["h", "c", "half"])
 
 
 def repeated_ranges(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
@@ -249,11 +268,12 @@ def repeated_ranges(documents: DataFrame, least: int = LEAST, gram: int = GRAM)
     several = occ.where("mixed")
     classes = several.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "far", "near")).alias("one"))
     classes = cut(classes.select("h", "c", "n", "one.*"))
-    per_anchor = classes.groupBy("h").agg(F.ceil(F.count("*") / ANCHOR_CLASSES).alias("salts"))
-    salted = classes.join(per_anchor, "h").withColumns({"salt": F.pmod(F.xxhash64("c"), F.col("salts")), "hot": F.col("salts") > 1})
+    halves = cut(contexts(documents, classes, least, gram))
+    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half", F.ceil(F.col("n") / SORTED_CLASSES).alias("salts"))
+    salted = halves.join(shared, "half").select("*", F.pmod(F.xxhash64("c"), F.col("salts")).alias("salt"), (F.col("salts") > 1).alias("hot"))
     buckets = -(-classes.count() // BUCKET_CLASSES) or 1
-    bucket = F.pmod(F.xxhash64("h", "salt"), F.lit(buckets)).alias("bucket")
-    found = cut(contexts(documents, salted, least).withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare_windows(least), COMPARED))
+    bucket = F.pmod(F.xxhash64("half", "salt"), F.lit(buckets)).alias("bucket")
+    found = cut(salted.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare_windows(least), COMPARED))
     open_ = found.where("w1 is not null")
     met = open_.groupBy("w1", "w2").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("w1", "w2")
     windows = found.where("w1 is null").select("h", "c", "d0", "d1").unionByName(open_.join(met, ["w1", "w2"]).select("h", "c", "d0", "d1"))
