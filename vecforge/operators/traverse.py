@@ -21,6 +21,15 @@ from vecforge.operators.graph import level, select_neighbours
 from vecforge.plans.options import BuildOptions, SearchOptions
 
 
+def fast(metric: str, q: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """All distances by matrix products; equal to the kernels' but for rounding."""
+    if metric == "l2":
+        return np.maximum((q * q).sum(axis=1)[:, None] - 2 * (q @ b.T) + (b * b).sum(axis=1)[None, :], 0)
+    if metric == "ip":
+        return 1 - q @ b.T
+    return KERNELS[metric](q, b)
+
+
 @dataclass
 class Layers:
     """A graph in memory: vectors, levels, and neighbour lists by level."""
@@ -35,8 +44,9 @@ class Layers:
     computed: int = 0
 
     def distances(self, q: np.ndarray, to: list[int] | np.ndarray) -> np.ndarray:
+        """For the walk alone, in whatever order of summation is fastest; results are computed anew."""
         self.computed += len(to)
-        return KERNELS[self.metric](q[None, :], self.vectors[to])[0]
+        return fast(self.metric, q[None, :], self.vectors[to])[0]
 
     def descend(self, q: np.ndarray, start: int, top: int, bottom: int) -> int:
         """Greedy walk from level top down to the one above bottom, always to a strictly nearer neighbour."""
@@ -91,7 +101,7 @@ class Layers:
         """Connects a node both ways to selected neighbours; lists over the limit are selected anew. Gives the nearest."""
         ids = [x for _, x in near]
         v = self.vectors[ids]
-        kept = [ids[i] for i in select_neighbours(np.array([d for d, _ in near]), KERNELS[self.metric](v, v), m)]
+        kept = [ids[i] for i in select_neighbours(np.array([d for d, _ in near]), fast(self.metric, v, v), m)]
         self.links[lv][node] = kept
         for x in kept:
             back = self.links[lv].setdefault(x, [])
@@ -101,14 +111,18 @@ class Layers:
                 order = np.lexsort((np.array(back), d))
                 ranked = [back[i] for i in order]
                 v = self.vectors[ranked]
-                self.links[lv][x] = [ranked[i] for i in select_neighbours(d[order], KERNELS[self.metric](v, v), most)]
+                self.links[lv][x] = [ranked[i] for i in select_neighbours(d[order], fast(self.metric, v, v), most)]
         return ids[0]
 
     def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None, width: int = 1) -> list[tuple[float, int]]:
         if self.entry < 0:
             return []
         start = self.descend(q, self.entry, int(self.levels[self.entry]), 0)
-        return self.best_first(q, start, max(ef, k), 0, allowed, width)[:k]
+        found = [x for _, x in self.best_first(q, start, max(ef, k), 0, allowed, width)]
+        if not found:
+            return []
+        d = KERNELS[self.metric](q[None, :], self.vectors[found])[0]
+        return sorted(zip(d.tolist(), found, strict=True))[:k]
 
 
 def build(ids: np.ndarray, vectors: np.ndarray, levels: np.ndarray, options: BuildOptions) -> Layers:
