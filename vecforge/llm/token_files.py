@@ -30,14 +30,19 @@ from pyspark.sql import functions as F
 from .common import table, tasks
 
 #: Ids of a block, and of a frame (a longer document has a frame of its own).
-BLOCK, FRAME = 4096, 4_000_000
+BLOCK, FRAME = 2048, 8_000_000
 END = 0
 #: log2 of: the coder's total, the fixed distribution's total, and the entries of the tables of order 2, 1 and 0.
-TOTAL, FIXED, BITS2, BITS1, BITS0 = 24, 18, 12, 11, 9
+TOTAL, FIXED, BITS2, BITS1, BITS0 = 24, 18, 11, 10, 9
 VOCABULARY = 1 << 16
 #: Pieces that a worker process remembers at most.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
+#: Blocks coded in lockstep at most: enough to make little of the cost of a numpy call, at some 14 kB of tables each.
+LANES = 4096
 U = np.uint64
+#: No id; and what all predictions may share at most, the rest being the fixed distribution's.
+NONE = np.uint32(VOCABULARY)
+MOST = np.uint32((1 << TOTAL) - (1 << FIXED))
 
 
 def fixed_distribution() -> tuple[np.ndarray, np.ndarray]:
@@ -47,55 +52,58 @@ def fixed_distribution() -> tuple[np.ndarray, np.ndarray]:
     counts = 1 + np.floor(share / share.sum() * free).astype(np.int64)
     counts[0] += (1 << FIXED) - counts.sum()
     cumulative = np.concatenate(([0], np.cumsum(counts))).astype(U)
-    return cumulative, np.repeat(np.arange(VOCABULARY), counts).astype(np.int64)
+    return cumulative, np.repeat(np.arange(VOCABULARY), counts).astype(np.uint32)
 
 
 class Model:
-    """Predictions of all lanes' next ids, and their updates."""
+    """Predictions of all lanes' next ids, and their updates. Shares are in units of 1 / 2**TOTAL.
+
+    Probabilities have 16 bits and stay under 64000, so that every product of a share's upper 16 bits fits 32 bits.
+    """
 
     def __init__(self, lanes: int) -> None:
-        self.lane = np.arange(lanes)
-        self.two = np.full(lanes << BITS2, -1, np.int32)
-        self.one = np.full(lanes << BITS1, -1, np.int32)
-        self.recent = np.full(lanes << BITS0, -1, np.int32)
-        self.sure2 = np.zeros(lanes << BITS2, np.uint8)
-        # Probability that a prediction is right, in 1/65536, by lane, order and confidence.
-        self.right = np.tile(np.array([9000, 26000, 40000, 52000, 9000, 9000, 30000, 30000], np.int32), lanes)
+        self.base2, self.base1, self.base0 = (np.arange(lanes, dtype=np.int64) << b for b in (BITS2, BITS1, BITS0))
+        self.base_sure = np.arange(lanes, dtype=np.int64) << 2
+        # Id times 4 and confidence; 4 times NONE if the entry is new.
+        self.two = np.full(lanes << BITS2, NONE << 2, np.uint32)
+        self.one = np.full(lanes << BITS1, NONE, np.uint32)
+        self.recent = np.full(lanes << BITS0, NONE, np.uint32)
+        # Probability that a prediction is right, of order 2 by confidence, of order 1 and of order 0.
+        self.right2 = np.tile(np.array([9000, 26000, 40000, 52000], np.int32), lanes)
+        self.right1, self.right0 = np.full(lanes, 9000, np.int32), np.full(lanes, 30000, np.int32)
         self.before = np.zeros(lanes, np.int64)
         self.last = np.zeros(lanes, np.int64)
 
     def predict(self, n: int) -> tuple[np.ndarray, ...]:
-        """For the first n lanes: ids of order 2 and 1, ends of the shares of orders 2, 1 and 0."""
-        lane, last = self.lane[:n], self.last[:n]
-        self.at2 = (lane << BITS2) + (((self.before[:n] * 40503 + last * 2654435761) >> 7) & ((1 << BITS2) - 1))
-        self.at1 = (lane << BITS1) + ((last ^ (last >> 11)) & ((1 << BITS1) - 1))
-        self.id2, self.id1 = self.two[self.at2], self.one[self.at1]
-        self.c2 = (lane << 3) + self.sure2[self.at2]
-        self.c1 = (lane << 3) + 4
-        self.c0 = (lane << 3) + 6
-        p2, p1, p0 = self.right[self.c2], self.right[self.c1], self.right[self.c0]
-        most = (1 << TOTAL) - (1 << FIXED)
-        s2 = np.where(self.id2 >= 0, p2.astype(np.int64) * most >> 16, 0)
-        s1 = np.where(self.id1 >= 0, (most - s2) * p1 >> 16, 0)
-        same = self.id1 == self.id2
-        s0 = ((most - s2 - s1) * p0 >> 16) >> BITS0  # share of each entry of the cache
-        # Agreeing predictions count as one with both shares.
-        e2 = np.where(same, s2 + s1, s2)
+        """For the first n lanes: ends of the shares of orders 2 and 1, share of a cache entry, end of the cache's share."""
+        last = self.last[:n]
+        self.at2 = self.base2[:n] + (((self.before[:n] * 40503 + last * 2654435761) >> 7) & ((1 << BITS2) - 1))
+        self.at1 = self.base1[:n] + ((last ^ (last >> 11)) & ((1 << BITS1) - 1))
+        entry = self.two[self.at2]
+        self.id2, self.id1 = entry >> 2, self.one[self.at1]
+        self.sure = entry & 3
+        self.at_sure = self.base_sure[:n] + self.sure
+        self.p2 = self.right2[self.at_sure]
+        s2 = (self.p2.astype(np.uint32) << 8) * (self.id2 != NONE)
+        left = MOST - s2
+        s1 = ((left >> 8) * self.right1[:n].astype(np.uint32) >> 8) * (self.id1 != NONE)
         e1 = s2 + s1
+        s0 = ((MOST - e1) >> 8) * self.right0[:n].astype(np.uint32) >> (8 + BITS0)  # of each entry of the cache
+        # Agreeing predictions count as one with both shares.
+        e2 = s2 + s1 * (self.id1 == self.id2)
         return e2, e1, s0, e1 + (s0 << BITS0)
 
     def update(self, ids: np.ndarray, n: int) -> None:
-        lane = self.lane[:n]
+        """ids: 32-bit."""
         hit2, hit1 = self.id2 == ids, self.id1 == ids
-        at0 = (lane << BITS0) + (ids & ((1 << BITS0) - 1))
+        at0 = self.base0[:n] + (ids & ((1 << BITS0) - 1))
         hit0 = self.recent[at0] == ids
-        r = self.right
-        for at, hit, used in ((self.c2, hit2, self.id2 >= 0), (self.c1, hit1, (self.id1 >= 0) & ~hit2), (self.c0, hit0, ~hit2 & ~hit1)):
-            old = r[at]
-            r[at] = old + np.where(used, (np.where(hit, 64000, 600) - old) >> 4, 0)
-        sure = self.sure2[self.at2]
-        self.sure2[self.at2] = np.where(hit2, np.minimum(sure + 1, 3), 0)
-        self.two[self.at2] = ids
+        self.right2[self.at_sure] = self.p2 + (((hit2 * 63400 + 600 - self.p2) >> 4) * (self.id2 != NONE))
+        miss2 = ~hit2
+        r1, r0 = self.right1[:n], self.right0[:n]
+        r1 += ((hit1 * 63400 + 600 - r1) >> 4) * (miss2 & (self.id1 != NONE))
+        r0 += ((hit0 * 63400 + 600 - r0) >> 4) * (miss2 & ~hit1)
+        self.two[self.at2] = (ids << 2) | (np.minimum(self.sure + 1, 3) * hit2)
         self.one[self.at1] = ids
         self.recent[at0] = ids
         self.before[:n] = self.last[:n]
@@ -110,32 +118,44 @@ class Lanes:
         self.range = np.full(lanes, 0xFFFFFFFFFFFFFFFF, U)
 
     def narrow(self, n: int, r: np.ndarray, first: np.ndarray, size: np.ndarray) -> None:
-        self.low[:n] += r * first.astype(U)
-        self.range[:n] = r * size.astype(U)
+        self.low[:n] += r * first
+        self.range[:n] = r * size
 
     def shifts(self, n: int):
         """Yields the lanes whose upper 16 bits leave, until none do."""
         low, range_ = self.low[:n], self.range[:n]
-        while True:
-            out = (low ^ (low + range_)) < U(1 << 48)
-            small = ~out & (range_ < U(1 << 32))
-            if small.any():
-                range_[small] = (~low[small] + U(1)) & U(0xFFFFFFFF)
-                range_[small & (range_ == 0)] = U(1 << 32)
-                out |= small
-            who = np.flatnonzero(out)
-            if not len(who):
-                return
-            yield who
-            low[who] <<= U(16)
-            range_[who] <<= U(16)
+        out = (low ^ (low + range_)) < U(1 << 48)
+        small = range_ < U(1 << 32)
+        who = np.flatnonzero(out | small)
+        while len(who):
+            a, r = low[who], range_[who]
+            tight = (r < U(1 << 32)) & ((a ^ (a + r)) >= U(1 << 48))
+            if tight.any():
+                cut = (~a[tight] + U(1)) & U(0xFFFFFFFF)
+                r[tight] = np.where(cut == 0, U(1 << 32), cut)
+            yield who, a
+            a, r = a << U(16), r << U(16)
+            low[who], range_[who] = a, r
+            who = who[((a ^ (a + r)) < U(1 << 48)) | (r < U(1 << 32))]
+
+
+def chosen(conditions: list[np.ndarray], values: list, default: np.ndarray) -> np.ndarray:
+    """The value of the last condition that holds."""
+    out = default
+    for c, v in zip(conditions, values, strict=True):
+        out = np.where(c, v, out)
+    return out
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Each block of ids as bytes. Lanes are ordered by length, so that finished ones drop off the end."""
+    return [c for k in range(0, len(blocks), LANES) for c in encode_lanes(blocks[k : k + LANES])]
+
+
+def encode_lanes(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     sizes = np.array([len(blocks[i]) for i in order])
-    ids = np.zeros((int(sizes[0]) if len(sizes) else 0, len(order)), np.int64)
+    ids = np.zeros((int(sizes[0]) if len(sizes) else 0, len(order)), np.uint32)
     for k, i in enumerate(order):
         ids[: len(blocks[i]), k] = blocks[i]
     model, state, (cumulative, _) = Model(len(order)), Lanes(len(order)), fixed_distribution()
@@ -145,21 +165,18 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
             n = int(np.searchsorted(-sizes, -step, "left"))
             x = ids[step, :n]
             e2, e1, s0, e0 = model.predict(n)
-            is2, is1 = model.id2 == x, model.id1 == x
             slot = x & ((1 << BITS0) - 1)
-            is0 = (model.recent[(model.lane[:n] << BITS0) + slot] == x) & (s0 > 0)
             rest = ((1 << TOTAL) - e0).astype(U)
             a, b = cumulative[x] * rest >> U(FIXED), cumulative[x + 1] * rest >> U(FIXED)
-            first = e0 + a.astype(np.int64)
-            size = (b - a).astype(np.int64)
-            first, size = np.where(is0, e1 + slot * s0, first), np.where(is0, s0, size)
             w1 = e1 - e2
-            first, size = np.where(is1 & (w1 > 0), e2, first), np.where(is1 & (w1 > 0), w1, size)
-            first, size = np.where(is2 & (e2 > 0), 0, first), np.where(is2 & (e2 > 0), e2, size)
+            by = [(model.recent[model.base0[:n] + slot] == x) & (s0 > 0), (model.id1 == x) & (w1 > 0), (model.id2 == x) & (e2 > 0)]
+            first = chosen(by, [e1 + slot * s0, e2, 0], e0 + a)
+            size = chosen(by, [s0, w1, e2], b - a)
             state.narrow(n, state.range[:n] >> U(TOTAL), first, size)
-            for who in state.shifts(n):
-                out[who, filled[who]] = (state.low[who] >> U(48)).astype(np.uint16)
-                filled[who] += 1
+            for who, low in state.shifts(n):
+                at = filled[who]
+                out[who, at] = (low >> U(48)).astype(np.uint16)
+                filled[who] = at + 1
             model.update(x, n)
         for shift in (48, 32, 16, 0):
             out[np.arange(len(order)), filled] = (state.low >> U(shift)).astype(np.uint16)
@@ -171,6 +188,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 
 
 def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+    return [ids for k in range(0, len(coded), LANES) for ids in decode_lanes(coded[k : k + LANES], sizes[k : k + LANES])]
+
+
+def decode_lanes(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     order = sorted(range(len(coded)), key=lambda i: -sizes[i])
     length = np.array([sizes[i] for i in order])
     words = np.zeros((len(order), max((len(c) for c in coded), default=0) // 2 + 4), np.uint16)
@@ -182,30 +203,28 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     read = np.full(len(order), 4)
     model, state, (cumulative, places) = Model(len(order)), Lanes(len(order)), fixed_distribution()
     ids = np.zeros((int(length[0]) if len(length) else 0, len(order)), np.uint16)
-    with np.errstate(over="ignore"):
+    with np.errstate(over="ignore", divide="ignore"):
         for step in range(len(ids)):
             n = int(np.searchsorted(-length, -step, "left"))
             e2, e1, s0, e0 = model.predict(n)
             r = state.range[:n] >> U(TOTAL)
-            target = np.minimum((code[:n] - state.low[:n]) // r, U((1 << TOTAL) - 1)).astype(np.int64)
-            by2, by1, by0 = target < e2, target < e1, target < e0
+            target = np.minimum((code[:n] - state.low[:n]) // r, U((1 << TOTAL) - 1)).astype(np.uint32)
+            by = [target < e0, target < e1, target < e2]
             rest = ((1 << TOTAL) - e0).astype(U)
-            under = np.maximum(target - e0, 0).astype(U)
-            x = places[((((under + U(1)) << U(FIXED)) - U(1)) // rest).astype(np.int64) & ((1 << FIXED) - 1)]
+            under = (np.maximum(target, e0) - e0).astype(U)
+            x = places[((((under + U(1)) << U(FIXED)) - U(1)) // rest) & U((1 << FIXED) - 1)]
             a, b = cumulative[x] * rest >> U(FIXED), cumulative[x + 1] * rest >> U(FIXED)
-            slot = np.where(by0, (target - e1) // np.maximum(s0, 1), 0) & ((1 << BITS0) - 1)
-            x = np.where(by0, model.recent[(model.lane[:n] << BITS0) + slot], x)
-            first = np.where(by0, e1 + slot * s0, e0 + a.astype(np.int64))
-            size = np.where(by0, s0, (b - a).astype(np.int64))
-            x, first, size = np.where(by1, model.id1, x), np.where(by1, e2, first), np.where(by1, e1 - e2, size)
-            x, first, size = np.where(by2, model.id2, x).astype(np.int64), np.where(by2, 0, first), np.where(by2, e2, size)
-            # A damaged block may lead to an empty prediction; its checksum tells.
-            x &= VOCABULARY - 1
+            slot = ((target - e1) // np.maximum(s0, 1)) & ((1 << BITS0) - 1)
+            # A damaged block may lead anywhere; its checksum tells.
+            x = chosen(by, [model.recent[model.base0[:n] + slot], model.id1, model.id2], x).astype(np.uint32) & (VOCABULARY - 1)
+            first = chosen(by, [e1 + slot * s0, e2, 0], e0 + a)
+            size = chosen(by, [s0, e1 - e2, e2], b - a)
             ids[step, :n] = x
             state.narrow(n, r, first, np.maximum(size, 1))
-            for who in state.shifts(n):
-                code[who] = (code[who] << U(16)) | words[who, np.minimum(read[who], words.shape[1] - 1)].astype(U)
-                read[who] += 1
+            for who, _ in state.shifts(n):
+                at = read[who]
+                code[who] = (code[who] << U(16)) | words[who, np.minimum(at, words.shape[1] - 1)]
+                read[who] = at + 1
             model.update(x, n)
     out: list[np.ndarray] = [np.empty(0, np.uint16)] * len(coded)
     for k, i in enumerate(order):
