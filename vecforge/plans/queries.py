@@ -77,7 +77,8 @@ def knn_out(df: DataFrame) -> DataFrame:
     return df.select("query_id", "rank", "id", r6("dist"))
 
 
-KNN_OUT = " select query_id, rank, id, round(dist, 6) dist from knn"
+#: A distance that rounds to 0 is 0, not -0.
+KNN_OUT = " select query_id, rank, id, case when abs(dist) < 5e-7 then 0.0 else round(dist, 6) end dist from knn"
 
 # Distances -------------------------------------------------------------------------------------------------------
 
@@ -96,7 +97,7 @@ def f1(spark, d):
     return pairs(spark, d).select("id", distance.l2_sq(F.col("v"), F.col("w"), DIM).alias("dist")).select("id", r6("dist"))
 
 
-@register("f2_inner_product", PAIRS + f" select id, round(1.0 - {sql_dot('v', 'w')}, 6) dist from p")
+@register("f2_inner_product", PAIRS + f" select id, round(1.0 - {sql_dot('v', 'w')}, 6) + 0.0 dist from p")
 def f2(spark, d):
     return pairs(spark, d).select("id", distance.inner_product(F.col("v"), F.col("w"), DIM).alias("dist")).select("id", r6("dist"))
 
