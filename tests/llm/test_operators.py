@@ -126,7 +126,7 @@ def test_token_files(spark, docs, rows, tmp_path):
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     more = docs.unionByName(spark.createDataFrame([(5000, "a<|endoftext|> b", None, None, 1)], SCHEMA).withColumns({c: F.lit(1) for c in docs.columns[5:]}))
-    token_files.write(more, str(tmp_path / "t"), path, public_tokenizers.PATTERN, ["<|endoftext|>"], block=64, frame=1000)
+    token_files.write(more, str(tmp_path / "t"), path, ["<|endoftext|>"], block=64, frame=1000)
     got = token_files.read(spark, str(tmp_path / "t")).orderBy("start").collect()
     t = Tokenizer.from_file(path)
     keyed = sorted([*rows, (5000, "a<|endoftext|> b")], key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
@@ -137,11 +137,29 @@ def test_token_files(spark, docs, rows, tmp_path):
         at += len(ids)
 
 
+def test_pieces_give_the_library_s_ids():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t, e = Tokenizer.from_file(path), token_files.Encoder(path, ["<|endoftext|>"])
+    rng = random.Random(11)
+    signs = ["a", "B", "é", "ß", "1", "٣", "½", " ", "  ", "\n", "\t", "\u00a0", "\u2003", "\x1c", "'", "'s", "'ll", "''", ".", "-", "_", "😀", "中", "\u0301", "\x00", "\r\n", "word"]
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    ids, n = e.encode(texts)
+    ids2, n2 = e.encode(texts)
+    assert (ids == ids2).all() and (n == n2).all()
+    at = 0
+    for text, k in zip(texts, n.tolist(), strict=True):
+        assert ids[at : at + k].tolist() == [*t.encode(text, add_special_tokens=False).ids, 0], repr(text)
+        at += k
+
+
 def test_damaged_block(spark, docs, tmp_path):
     import public_tokenizers
 
     store = str(tmp_path / "t")
-    token_files.write(docs, store, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, [])
+    token_files.write(docs, store, public_tokenizers.path("byte_bpe_50k.json"), [])
     bad = spark.read.parquet(store).withColumn("blocks", F.transform("blocks", lambda b: b.withField("crc", b["crc"] + 1)))
     bad.write.parquet(str(tmp_path / "bad"))
     with pytest.raises(Exception, match="checksum"):

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, tasks
+from .common import Powers, mixed, table, tasks
 
 #: Ids of a block, and of a frame (a longer document has a frame of its own).
 BLOCK, FRAME = 2048, 8_000_000
@@ -36,7 +36,7 @@ END = 0
 TOTAL, FIXED, BITS2, BITS1, BITS0 = 24, 18, 11, 10, 9
 VOCABULARY = 1 << 16
 #: Pieces that a worker process remembers at most.
-REMEMBERED = 800_000
+REMEMBERED = 2_000_000
 #: Blocks coded in lockstep at most: enough to make little of the cost of a numpy call, at some 14 kB of tables each.
 LANES = 4096
 U = np.uint64
@@ -232,71 +232,144 @@ def decode_lanes(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
     return out
 
 
-class Pieces(dict):
-    """Number of each piece of text; new pieces are numbered as they come."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, piece: str) -> int:
-        self[piece] = number = len(self)
-        self.fresh.append(piece)
-        return number
+class Numbers:
+    """Number of each 64-bit hash, in the order of coming: open addressing, all hashes of a call at once."""
+
+    def __init__(self, bits: int = 22) -> None:
+        self.keys, self.values, self.mask, self.count = np.zeros(1 << bits, U), np.zeros(1 << bits, np.int32), (1 << bits) - 1, 0
+
+    def find(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers, -1 of unknown hashes; and the free slot at which the search for those ended."""
+        slot = (h & U(self.mask)).astype(np.int64)
+        out = np.full(len(h), -1, np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            at = slot[open_]
+            key = self.keys[at]
+            same = key == h[open_]
+            out[open_[same]] = self.values[at[same]]
+            open_ = open_[~same & (key != 0)]
+            slot[open_] = (slot[open_] + 1) & self.mask
+        return out, slot
+
+    def add(self, h: np.ndarray) -> None:
+        """Numbers new distinct hashes."""
+        value = self.count + np.arange(len(h))
+        self.count += len(h)
+        while len(h):
+            _, slot = self.find(h)
+            _, first = np.unique(slot, return_index=True)
+            self.keys[slot[first]], self.values[slot[first]] = h[first], value[first]
+            rest = np.ones(len(h), bool)
+            rest[first] = False
+            h, value = h[rest], value[rest]
 
 
 class Encoder:
-    """The tokenizer, run once for each distinct piece into which its own pattern splits texts."""
+    """The tokenizer, run once for each distinct piece into which its own pattern splits texts.
 
-    def __init__(self, path: str, pattern: str, specials: list[str]) -> None:
+    The pattern is that of byte-level vocabularies: runs of letters, of digits and of other signs, each with the space
+    before it, and what white space is left. Pieces are found for many texts at once by the classes of their code points; a
+    text with a special token or an apostrophe that may begin a contraction goes to the tokenizer as a whole.
+    """
+
+    def __init__(self, path: str, specials: list[str]) -> None:
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.split, self.specials = Tokenizer.from_file(path), regex.compile(pattern).findall, specials
+        self.tokenizer, self.specials = Tokenizer.from_file(path), specials
+        self.contraction = regex.compile(r"'(?:[stmd]|re|ve|ll)").search
+        # Class of each code point: 1 letters, 2 numbers, 3 white space, 0 others.
+        self.kinds = np.zeros(0x110000, np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
+            for m in regex.finditer(pattern, every):
+                a, b = (x + 0x800 * (x >= 0xD800) for x in m.span())
+                self.kinds[a:b] = kind
+        self.powers = Powers()
         self.forget()
 
     def forget(self) -> None:
-        self.pieces, self.ids, self.start = Pieces(), np.empty(0, np.uint16), np.zeros(1, np.int64)
+        self.numbers, self.ids, self.start = Numbers(), np.empty(0, np.uint16), np.zeros(1, np.int64)
 
-    def learn(self) -> None:
-        fresh = self.pieces.fresh
+    def learn(self, fresh: list[str]) -> None:
+        ids, ends = [self.ids], [self.start]
         for k in range(0, len(fresh), 20_000):
-            got = self.tokenizer.encode(fresh[k : k + 20_000], is_pretokenized=True, add_special_tokens=False)
-            n = np.bincount(np.array(got.word_ids, np.int64), minlength=len(fresh[k : k + 20_000]))
-            self.ids = np.concatenate((self.ids, np.array(got.ids, np.uint16)))
-            self.start = np.concatenate((self.start, self.start[-1] + np.cumsum(n)))
-        fresh.clear()
+            part = fresh[k : k + 20_000]
+            got = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
+            ids.append(np.array(got.ids, np.uint16))
+            ends.append(ends[-1][-1] + np.cumsum(np.bincount(np.array(got.word_ids, np.int64), minlength=len(part))))
+        self.ids, self.start = np.concatenate(ids), np.concatenate(ends)
+
+    def pieces(self, points: np.ndarray, edges: np.ndarray) -> np.ndarray:
+        """Where pieces begin, of texts end to end; edges: where each text begins, and the end."""
+        kind = self.kinds[points]
+        n = len(points)
+        new = np.ones(n, bool)
+        new[1:] = kind[1:] != kind[:-1]
+        inner = edges[(edges > 0) & (edges < n)]
+        new[inner] = True
+        text_start = np.zeros(n + 1, bool)
+        text_start[edges] = True
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], n) - 1
+        white = kind[first] == 3
+        begins = np.zeros(n, bool)
+        solid = first[~white]
+        joined = ~text_start[solid] & (points[solid - 1] == 32)
+        begins[solid - joined] = True
+        a, b = first[white], last[white]
+        begins[a] = True
+        # White space before a sign leaves its last character, which stands alone unless it is a space.
+        begins[b[~text_start[b + 1]]] = True
+        return np.flatnonzero(begins)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the texts end to end, each with the end id, and the number of ids of each."""
-        if len(self.pieces) > REMEMBERED:
+        if self.numbers.count > REMEMBERED:
             self.forget()
-        known, parts = self.pieces.__getitem__, []
-        for t in texts:
-            if any(s in t for s in self.specials):
-                parts.append(None)
-            else:
-                p = self.split(t)
-                parts.append(np.fromiter(map(known, p), np.int64, len(p)))
-        self.learn()
-        end = np.array([END], np.uint16)
-        out, n = [], []
-        for t, p in zip(texts, parts, strict=True):
-            if p is None:
+        apart = [any(s in t for s in self.specials) or ("'" in t and self.contraction(t) is not None) for t in texts]
+        text = "".join(t for t, x in zip(texts, apart, strict=True) if not x)
+        points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        edges = np.cumsum([0, *(len(t) for t, x in zip(texts, apart, strict=True) if not x)])
+        flat, counts = np.empty(0, np.uint16), np.zeros(len(edges) - 1, np.int64)
+        if len(points):
+            begin = self.pieces(points, edges)
+            end = np.append(begin[1:], len(points))
+            up, down = self.powers.to(len(points) + 1)
+            with np.errstate(over="ignore"):
+                prefix = np.zeros(len(points) + 1, U)
+                np.cumsum((points.astype(U) + U(1)) * up[: len(points)], out=prefix[1:])
+                h = mixed((prefix[end] - prefix[begin]) * down[begin] + (end - begin).astype(U)) | U(1)
+            number, _ = self.numbers.find(h)
+            unknown = np.flatnonzero(number < 0)
+            if len(unknown):
+                hashes, at = np.unique(h[unknown], return_index=True)
+                at = unknown[at]
+                self.numbers.add(hashes)
+                self.learn([text[x:y] for x, y in zip(begin[at].tolist(), end[at].tolist(), strict=True)])
+                number[unknown], _ = self.numbers.find(h[unknown])
+            size = self.start[number + 1] - self.start[number]
+            total = np.concatenate(([0], np.cumsum(size)))
+            flat = self.ids[np.repeat(self.start[number] - total[:-1], size) + np.arange(total[-1])]
+            counts = np.diff(total[np.searchsorted(begin, edges)])
+        out, n, at, k, stop = [], [], 0, 0, np.array([END], np.uint16)
+        for t, x in zip(texts, apart, strict=True):
+            if x:
                 ids = np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, np.uint16)
             else:
-                a, size = self.start[p], self.start[p + 1] - self.start[p]
-                ids = self.ids[np.repeat(a - np.cumsum(size) + size, size) + np.arange(size.sum())]
-            out += [ids, end]
+                ids = flat[at : at + counts[k]]
+                at, k = at + int(counts[k]), k + 1
+            out += [ids, stop]
             n.append(len(ids) + 1)
         return np.concatenate(out) if out else np.empty(0, np.uint16), np.array(n, np.int64)
 
 
-def encoder(path: str, pattern: str, specials: list[str]) -> Encoder:
+def encoder(path: str, specials: list[str]) -> Encoder:
     """This process's encoder; what it remembers outlives a task."""
     kept = sys.modules.setdefault("_vecforge_kept", types.ModuleType("_vecforge_kept"))
     if getattr(kept, "path", None) != path:
-        kept.path, kept.encoder = path, Encoder(path, pattern, specials)
+        kept.path, kept.encoder = path, Encoder(path, specials)
     return kept.encoder
 
 
@@ -309,14 +382,14 @@ def frames(ids: list[np.ndarray], block: int) -> list[dict]:
     return [{"size": len(b), "crc": zlib.crc32(b.astype("<u4").tobytes()), "data": c} for b, c in zip(blocks, encode_blocks(blocks), strict=True)]
 
 
-def write(documents: DataFrame, store: str, tokenizer: str, pattern: str, specials: list[str], block: int = BLOCK, frame: int = FRAME) -> None:
+def write(documents: DataFrame, store: str, tokenizer: str, specials: list[str], block: int = BLOCK, frame: int = FRAME) -> None:
     """Writes the documents' token ids to a store, in ascending doc_id."""
     spark = documents.sparkSession
     ordered = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).repartitionByRange(tasks(spark), "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches):
         part, number, start = TaskContext.get().partitionId(), 0, 0
-        enc = encoder(tokenizer, pattern, specials)
+        enc = encoder(tokenizer, specials)
         schema = pa.schema([("part", pa.int64()), ("frame", pa.int64()), ("start", pa.int64()), ("total", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("lengths", pa.list_(pa.int64())), ("blocks", pa.list_(pa.struct([("size", pa.int32()), ("crc", pa.int64()), ("data", pa.binary())])))])
         held: list[np.ndarray] = []
         docs: list = []
@@ -376,5 +449,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .common import shared_folder
 
     store = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
-    write(table(spark, sf_dir, "documents"), store, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, ["<|endoftext|>"])
+    write(table(spark, sf_dir, "documents"), store, public_tokenizers.path("byte_bpe_50k.json"), ["<|endoftext|>"])
     return read(spark, store).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
