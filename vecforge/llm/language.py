@@ -117,8 +117,12 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], seed: int =
 
 def sample_windows(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[str]]:
     """At most ROW_WINDOWS windows, spread over the whole text, of each of at most so many rows, chosen by a hash."""
-    order = F.xxhash64("text", F.lit(11))
-    chosen = labelled.where("text is not null and lang is not null and text <> ''").select("text", "lang", order.alias("h")).orderBy("h", "lang").limit(rows)
+    usable = labelled.where("text is not null and lang is not null and text <> ''").select("text", "lang", F.xxhash64("text", F.lit(11)).alias("h"))
+    # Only hashes are sorted; then the texts up to the last one chosen are taken, one row of each.
+    last = usable.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    if last is None:
+        return np.zeros((0, LENGTH), np.uint8), []
+    chosen = usable.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
 
     def run(batches):
         for batch in batches:
