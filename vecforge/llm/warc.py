@@ -109,9 +109,14 @@ def resolve(captures: DataFrame, slices: int = 64) -> DataFrame:
     # A revisit comes after the responses of its own time.
     w = Window.partitionBy("page", "slice").orderBy("at", F.when(response, 0).otherwise(1), "capture").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = sliced.where("page is not null").withColumn("own", F.max("full").over(w)).join(carried, ["page", "slice"], "left")
-    found = seen.where("type = 'revisit'").select("capture", "at", F.greatest("own", F.coalesce("carried", F.col("own")), F.coalesce("own", F.col("carried")))["capture"].alias("original"))
-    base = captures.select(F.col("capture").alias("original"), F.col("headers").alias("old"), F.col("payload").alias("body"), F.col("type").alias("kind")).where("kind = 'response'").drop("kind")
-    joined = captures.join(found, ["capture", "at"], "left").join(base, "original", "left")
+    original = F.greatest("own", F.coalesce("carried", F.col("own")), F.coalesce("own", F.col("carried")))["capture"]
+    found = seen.where("type = 'revisit'").select("capture", "at", original.alias("original")).dropDuplicates(["capture", "at"])
+    # A payload is shuffled once, to meet its own response and the revisits that resolve to it.
+    lone = F.when(response & F.col("capture").isNotNull(), F.lit(None)).otherwise(F.col("payload"))
+    asks = captures.select("capture", "at", "type", "url", "headers", lone.alias("payload")).join(found, ["capture", "at"], "left")
+    asks = asks.withColumn("source", F.when(response, F.col("capture")).otherwise(F.col("original")))
+    bodies = captures.where(response).select(F.col("capture").alias("source"), F.col("headers").alias("old"), F.col("payload").alias("body")).dropDuplicates(["source"])
+    joined = asks.join(bodies, "source", "left")
     new, old = F.col("headers"), F.col("old")
     both_tags = new["etag"].isNotNull() & old["etag"].isNotNull()
     agrees = F.when(both_tags, weak(new["etag"]) == weak(old["etag"])).otherwise(F.coalesce(new["last-modified"] == old["last-modified"], F.lit(False)))
@@ -120,7 +125,8 @@ def resolve(captures: DataFrame, slices: int = 64) -> DataFrame:
     merged = F.map_concat(F.map_filter(old, lambda k, v: ~F.array_contains(F.map_keys(taken), k)), taken)
     ok = F.col("outcome") == "resolved"
     out = joined.withColumn("outcome", outcome)
-    return out.select("capture", "at", "type", canonical(F.col("url")).alias("page"), "outcome", F.when(ok, F.col("original")).alias("original"), F.when(ok, merged).otherwise(new).alias("headers"), F.when(ok, F.col("body")).otherwise(F.col("payload")).alias("payload"))
+    payload = F.when(ok | response, F.coalesce("body", "payload")).otherwise(F.col("payload"))
+    return out.select("capture", "at", "type", canonical(F.col("url")).alias("page"), "outcome", F.when(ok, F.col("original")).alias("original"), F.when(ok, merged).otherwise(new).alias("headers"), payload.alias("payload"))
 
 
 def archive(pages: DataFrame) -> DataFrame:
@@ -149,9 +155,7 @@ def archive(pages: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .common import cut
-
-    got = cut(records(archive(table(spark, sf_dir, "pages"))))
+    got = records(archive(table(spark, sf_dir, "pages")))
     headers = F.array_join(F.transform(F.array_sort(F.map_entries("headers")), lambda e: F.concat_ws("=", e["key"], e["value"])), ";")
     return resolve(got).select("capture", "at", "type", "page", "outcome", "original", headers.alias("headers"), F.sha2("payload", 256).alias("payload_sha256"))
 
