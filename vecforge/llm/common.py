@@ -139,6 +139,14 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, powers: Power
     return start, end, h, np.searchsorted(start, offsets - base)
 
 
+def thinned(df: DataFrame, h, rows: int) -> DataFrame:
+    """About so many rows at most, those of least 64-bit hash h: a filter, so that no task gathers a sample of every other."""
+    n = df.count()
+    if n <= rows:
+        return df
+    return df.where(h < int(-(1 << 63) + (1 << 64) * (rows / n)))
+
+
 def crc_mod(column: str, n: int):
     """crc32 of an id as text, modulo n."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % n

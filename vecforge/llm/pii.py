@@ -19,7 +19,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import table, thinned
 
 KINDS = ("email", "ip", "card", "phone")
 #: Strict patterns. Possessive repeats and look-behinds only spare backtracking; they match what the plain forms do.
@@ -42,8 +42,8 @@ NEEDS = {("email", True): "@", ("phone", True): "+", ("email", False): "at", ("i
 CUES = {"email": r"(?i)(e-?mail|contact|write)", "ip": r"(?i)\b(ip|host|addr\w*|server)\b", "card": r"(?i)(card|visa|master|credit|amex)", "phone": r"(?i)(tel|phone|call|mobile|fax)"}
 #: Code points of context kept on either side.
 LEFT, RIGHT = 24, 4
-#: Bound of the training sample; trees, their learning rate, and candidate thresholds of a feature.
-SAMPLE_ROWS, ROUNDS, RATE, THRESHOLDS = 4000, 30, 0.3, 12
+#: Bounds of the training sample in documents and in candidates; trees, their learning rate, and candidate thresholds of a feature.
+SAMPLE_DOCUMENTS, SAMPLE_ROWS, ROUNDS, RATE, THRESHOLDS = 25_000, 4000, 30, 0.3, 12
 #: Precision that the threshold must reach on the calibration rows.
 PRECISION = 0.99
 
@@ -185,9 +185,10 @@ class Trees:
 
 
 def fit(documents: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from a bounded sample, chosen by a hash, of the strict candidates; their label is their validity."""
+    """Trees from the strict candidates of a bounded sample, chosen by hashes; their label is their validity."""
     names = [f"f{i}" for i in range(FEATURES)]
-    sample = judged(candidates(documents).where("kind is not null and strict"))
+    some = thinned(documents.select("doc_id", "text"), F.xxhash64("text", F.lit(31), "doc_id"), SAMPLE_DOCUMENTS)
+    sample = judged(candidates(some).where("kind is not null and strict"))
     got = sample.select(F.xxhash64("match", "first", "k2").alias("h"), F.col("valid").cast("double").alias("y"), *names).orderBy("h", "y", *names).limit(rows).collect()
     values = np.array([list(r)[1:] for r in got], float).reshape(-1, FEATURES + 1)
     return Trees(values[:, 1:], values[:, 0])
