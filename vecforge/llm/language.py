@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks, crc_mod, table, text_buffer
+from .common import chunks, crc_mod, table, text_buffer, thinned
 
 #: Bytes of a window, filter widths and filters of each width.
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 12
@@ -118,8 +118,8 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], seed: int =
 def sample_windows(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[str]]:
     """At most ROW_WINDOWS windows, spread over the whole text, of each of at most so many rows, chosen by a hash."""
     usable = labelled.where("text is not null and lang is not null and text <> ''").select("text", "lang", F.xxhash64("text", F.lit(11)).alias("h"))
-    # Only hashes are sorted; then the texts up to the last one chosen are taken, one row of each.
-    last = usable.select("h").distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    # Only hashes are sorted, of a few times the rows wanted; then the texts up to the last one chosen are taken, one row of each.
+    last = thinned(usable.select("h"), F.col("h"), 4 * rows).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
     if last is None:
         return np.zeros((0, LENGTH), np.uint8), []
     chosen = usable.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
@@ -153,14 +153,15 @@ def fit(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> Network | None:
 
 def predict(documents: DataFrame, network: Network | None) -> DataFrame:
     """All rows and columns, with lang_pred and score; names that clash are replaced."""
-    shared = documents.sparkSession.sparkContext.broadcast(network)
+    shared = documents.sparkSession.sparkContext.broadcast(vars(network) if network else None)
     ids = [c for c in documents.columns if c not in ("lang_pred", "score")]
     frame = documents.select(*ids)
     schema = StructType(list(frame.schema.fields)).add("lang_pred", "string").add("score", "double")
     text_at = ids.index("text")
 
     def run(batches):
-        net = shared.value
+        # Plain arrays travel; an executor need not have this module.
+        net = Network(**shared.value) if shared.value else None
         paired = net.paired() if net else []
         for batch in batches:
             data, offsets = text_buffer(batch.column(text_at))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Powers, chunks, crc_mod, table, text_buffer, words
+from .common import ALNUM, Powers, chunks, crc_mod, table, text_buffer, thinned, words
 
 #: Bits of a bucket, length of the factor vectors.
 BITS, FACTORS = 20, 6
@@ -95,7 +95,8 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mac
     """A machine from a bounded sample, chosen by a hash, of the labelled rows."""
     order = F.xxhash64(F.col("doc_id"), F.lit(5))
     # The sample's bound makes this side small enough to broadcast.
-    sample = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("double").alias("toxic"), order.alias("h")).orderBy("h", "doc_id", "toxic").limit(rows).select("doc_id", "toxic")
+    usable = labels.where("doc_id is not null and toxic is not null").select("doc_id", F.col("toxic").cast("double").alias("toxic"), order.alias("h"))
+    sample = thinned(usable, F.col("h"), 2 * rows).orderBy("h", "doc_id", "toxic").limit(rows).select("doc_id", "toxic")
     joined = documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
     def run(batches):
@@ -118,10 +119,10 @@ def fit(documents: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Mac
 
 def score(documents: DataFrame, machine: Machine) -> DataFrame:
     """doc_id and score of every whole text."""
-    shared = documents.sparkSession.sparkContext.broadcast(machine)
+    shared = documents.sparkSession.sparkContext.broadcast(vars(machine))
 
     def run(batches):
-        m, powers = shared.value, Powers()
+        m, powers = Machine(**shared.value), Powers()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             out = []
