@@ -178,13 +178,15 @@ def family_links(members: DataFrame, documents: DataFrame, k: int, num: int, den
 
     def to_sets(batches):
         codec, powers = pa.Codec("zstd"), Powers()
-        for batch in batches:
-            size, z = (batch.column(c).to_pylist() for c in (0, 1))
-            texts = [codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(z, size, strict=True)]
-            offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            sets = [s for a, b in chunks(offsets) for s in shingle_sets(data, offsets[a : b + 1], k, powers)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array([s.tobytes() for s in sets], pa.binary())], ["node", "family", "parts", "hashes"])
+        for whole in batches:
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                size, z = (batch.column(c).to_pylist() for c in (0, 1))
+                texts = [codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(z, size, strict=True)]
+                offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                sets = [s.tobytes() for a, b in chunks(offsets) for s in shingle_sets(data, offsets[a : b + 1], k, powers)]
+                yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array(sets, pa.binary())], ["node", "family", "parts", "hashes"])
 
     sets = meet.select("n_bytes", "z", "node", "family", "parts").mapInArrow(to_sets, "node long, family long, parts long, hashes binary")
     dealt = sets.withColumn("pair", F.explode(pairs)).select("node", "family", "hashes", "pair.i", "pair.j")
