@@ -35,8 +35,8 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their bins and places."""
-    return packing.pack(docs)
+    """Pieces of documents with their bins and places, by the tokenizer's counts."""
+    return packing.pack(docs, packing.library_tokens())
 
 
 STAGES = [

@@ -353,6 +353,42 @@ def test_packing(docs):
         assert all(x[0] + x[1] == y[0] for x, y in zip(b, b[1:], strict=False)) and b[0][0] == 0 and b[-1][0] + b[-1][1] <= 100
 
 
+def library_count():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    return lambda x: len(t.encode(x, add_special_tokens=False).ids) + 1 if x else 0
+
+
+def covered(got):
+    """Tokens of each document, whose pieces follow each other from its first on."""
+    pieces = defaultdict(list)
+    for r in got:
+        pieces[r["doc_id"]].append((r["first_token"], r["n_tokens"]))
+    for p in pieces.values():
+        p.sort()
+        assert p[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(p, p[1:], strict=False))
+    return {d: sum(n for _, n in p) for d, p in pieces.items()}
+
+
+def test_packing_covers_the_tokenizer_s_counts(spark, sf, docs, rows):
+    import corpus_pipeline
+
+    count = library_count()
+    stored = spark.read.parquet(f"{sf}/documents.parquet")
+    want = {r["doc_id"]: count(r["text"]) for r in stored.collect()}
+    for got in (packing.query(spark, sf), corpus_pipeline.best_fit_packing(spark, stored, sf)):
+        assert covered(got.collect()) == {d: n for d, n in want.items() if n}
+    made = Counter()
+    for r in packing.pack(docs, packing.library_tokens(), shard=20).collect():
+        made[r["doc_id"]] += r["n_tokens"]
+    need = Counter()
+    for d, t in rows:
+        need[d] += count(t)
+    assert +need == made
+
+
 def test_best_fit_is_the_tightest_compatible():
     rng = random.Random(8)
     for _ in range(30):
