@@ -334,6 +334,19 @@ def test_decontamination(spark, docs, rows, block, monkeypatch):
     assert clean.count() == sum(not r[-1] for r in brute_hits(rows, items, 10))
 
 
+@pytest.mark.parametrize("block", [1 << 24, 600, 150])
+def test_a_row_per_document_row(spark, docs, rows, block):
+    """Repeated and null ids, with equal and with different texts, at every benchmark size."""
+    text = rows[6][1].split()
+    more = [(None, " ".join(text[:20])), (None, " ".join(text[40:70])), (6, " ".join(text[25:45])), (6, None), (6, "x")]
+    every = docs.select("doc_id", "text").unionByName(spark.createDataFrame(more, "doc_id long, text string"))
+    items = [(i, " ".join(text[i : i + 14])) for i in range(0, 130, 9)] + [(200, "One"), (201, rows[20][1][:300])]
+    got = decontaminate.report(every, spark.createDataFrame(items, "item_id long, text string"), 10, block).collect()
+    matches([tuple(r) for r in got], brute_hits([*rows, *more], items, 10))
+    clean = decontaminate.decontaminate(every, spark.createDataFrame(items, "item_id long, text string"), 10, block)
+    assert clean.count() == sum(not r[-1] for r in brute_hits([*rows, *more], items, 10))
+
+
 # Packing, WARC, TIFF ---------------------------------------------------------------------------------------------
 
 

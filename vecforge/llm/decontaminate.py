@@ -3,11 +3,12 @@
 Each shard (a bounded chunk of whole documents) gets a suffix array of its words. Every suffix of every benchmark item
 is binary-searched in each shard; the range that shares a window's words is extended to the longest verbatim matches,
 whose locations mark the words hit. All is local to a document, so that nothing is shuffled while the benchmark fits
-one block; a larger benchmark is dealt to blocks by a hash of item_id and the blocks' findings are merged by document.
+one block. A larger benchmark is dealt to blocks by a hash; one block at a time is collected, broadcast, searched and
+given up, and the blocks' findings (hits only, without text) are merged by a 128-bit hash of id and text.
 
 Defined cases: a null or empty text has no words and no hits. An item without words never matches. An item of fewer
-words than the window is one window. Items with the same text are each reported. Repeated doc_ids give a row each while
-the benchmark fits one block, and one merged row otherwise. Columns of documents beyond id and text are ignored.
+words than the window is one window. Items with the same text are each reported. Each document row gives a row,
+repeated and null doc_ids too, whatever the benchmark's size. Columns of documents beyond id and text are ignored.
 """
 
 from __future__ import annotations
@@ -16,10 +17,11 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Powers, chunks, table, text_buffer, words
+from .common import ALNUM, Powers, chunks, cut, table, text_buffer, words
 
 #: Words of a window.
 WINDOW = 10
@@ -28,7 +30,7 @@ BLOCK_BYTES = 16_000_000
 #: Bits of a word's hash in the suffix array's keys, and words in a key.
 BITS, PER_KEY = 21, 3
 
-FOUND = "doc_id long, n_words long, spans array<struct<first: long, last: long>>, items array<string>"
+SPANS, ITEMS = "array<struct<first: bigint, last: bigint>>", "array<string>"
 
 
 def item_suffixes(rows: list[tuple[str, str]], window: int) -> dict:
@@ -136,18 +138,17 @@ def search(h: np.ndarray, first: np.ndarray, tests: dict, vocabulary: np.ndarray
     return pos[whole], matched[whole], tests["item"][test[whole]]
 
 
-def scan(documents: DataFrame, tests: dict) -> DataFrame:
-    """Per document: words, maximal runs of words hit, and items found."""
-    shared = documents.sparkSession.sparkContext.broadcast(tests)
+def scan(documents: DataFrame, shared: Broadcast) -> DataFrame:
+    """Per document (its last column is the text, the others stay): words, maximal runs of words hit, and items found."""
+    kept = documents.columns[:-1]
 
     def run(batches):
         tests, powers = shared.value, Powers()
         vocabulary = np.zeros(1 << BITS, bool)
         vocabulary[short(tests["hashes"][tests["at"]]).astype(np.int64)] = True
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            ids = batch.column(0).to_pylist()
-            out: tuple[list, ...] = ([], [], [], [])
+            data, offsets = text_buffer(batch.column(len(kept)))
+            out: tuple[list, ...] = ([], [], [])
             for a, b in chunks(offsets):
                 _, _, h, first = words(data, offsets[a : b + 1], ALNUM, powers)
                 pos, length, item = search(h, first, tests, vocabulary)
@@ -171,56 +172,69 @@ def scan(documents: DataFrame, tests: dict) -> DataFrame:
                     pairs = np.unique(np.stack([np.searchsorted(first, pos, "right") - 1, item]), axis=1)
                     for row, k in pairs.T.tolist():
                         items[row].add(tests["ids"][k])
-                out[0].extend(ids[a:b])
-                out[1].extend(np.diff(first).tolist())
-                out[2].extend([{"first": s, "last": e} for s, e in x] for x in spans)
-                out[3].extend(sorted(x) for x in items)
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())]
-            yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "n_words", "spans", "items"])
+                out[0].extend(np.diff(first).tolist())
+                out[1].extend([{"first": s, "last": e} for s, e in x] for x in spans)
+                out[2].extend(sorted(x) for x in items)
+            kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())]
+            found = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found], [*kept, "n_words", "spans", "items"])
 
-    return documents.mapInArrow(run, FOUND)
+    return documents.mapInArrow(run, ", ".join(f"{c} long" for c in [*kept, "n_words"]) + f", spans {SPANS}, items {ITEMS}")
 
 
 def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Verbatim benchmark matches by document: doc_id, n_words, spans of words hit, item ids."""
-    docs = documents.select("doc_id", "text")
+    spark = documents.sparkSession
+    doc_id = F.col("doc_id").cast("long").alias("doc_id")
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
-    parts = []
-    for k in range(blocks):
+
+    def tests(k: int) -> Broadcast:
         # A block's size is bounded by block_bytes on average; the hash deals items evenly.
-        rows = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).collect()
-        parts.append(scan(docs, item_suffixes([(r[0], r[1]) for r in rows], window)))
+        rows = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).collect()
+        return spark.sparkContext.broadcast(item_suffixes([(r[0], r[1]) for r in rows], window))
+
     if blocks == 1:
-        return parts[0]
-    whole = parts[0]
-    for x in parts[1:]:
-        whole = whole.unionByName(x)
-    merged = whole.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+        return scan(documents.select(doc_id, "text"), tests(0))
+    # Rows of equal keys have equal text and so equal findings, so that each block gives one of them.
+    keys = [F.xxhash64(F.lit(seed), "doc_id", "text", F.isnull("doc_id")).alias(name) for seed, name in ((17, "k1"), (23, "k2"))]
+    keyed = documents.select(doc_id, *keys, "text")
+    rows, hits = None, None
+    for k in range(blocks):
+        shared = tests(k)
+        found = scan(keyed, shared)
+        if rows is None:
+            rows = found = cut(found)
+        found = found.where(F.size("spans") > 0).select("k1", "k2", "spans", "items").dropDuplicates(["k1", "k2"])
+        found = cut(found)
+        shared.destroy()
+        hits = found if hits is None else hits.unionByName(found)
+    merged = hits.groupBy("k1", "k2").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     # Spans sorted by their first word are merged in one fold.
     union = F.aggregate(
         "spans",
-        F.expr("cast(array() as array<struct<first: bigint, last: bigint>>)"),
+        F.expr(f"cast(array() as {SPANS})"),
         lambda done, s: F.when(
             (F.size(done) > 0) & (F.element_at(done, -1)["last"] >= s["first"]),
             F.concat(F.slice(done, 1, F.size(done) - 1), F.array(F.struct(F.element_at(done, -1)["first"].alias("first"), F.greatest(F.element_at(done, -1)["last"], s["last"]).alias("last")))),
         ).otherwise(F.concat(done, F.array(s))),
     )
-    return merged.select("doc_id", "n_words", union.alias("spans"), "items")
+    whole = rows.select("doc_id", "k1", "k2", "n_words").join(merged.select("k1", "k2", union.alias("spans"), "items"), ["k1", "k2"], "left")
+    return whole.select("doc_id", "n_words", *(F.coalesce(c, F.expr(f"cast(array() as {kind})")).alias(c) for c, kind in (("spans", SPANS), ("items", ITEMS))))
 
 
-def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """The documents in which no window of the benchmark occurs, with all their columns."""
     key = F.xxhash64("doc_id", "text", F.isnull("doc_id"))
-    marked = find(documents.select(key.alias("doc_id"), "text"), benchmark, window).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit")).distinct()
+    marked = find(documents.select(key.alias("doc_id"), "text"), benchmark, window, block_bytes).where(F.size("spans") > 0).select(F.col("doc_id").alias("hit")).distinct()
     # The row is kept whole in a struct, so that no column's name can clash.
     rows = documents.select(F.struct("*").alias("row"), key.alias("key"))
     return rows.join(marked, F.col("key") == F.col("hit"), "left_anti").select("row.*")
 
 
-def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    found = find(documents, benchmark, window)
+def report(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    found = find(documents, benchmark, window, block_bytes)
     hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
     return found.select("doc_id", "n_words", hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), (hit > 0).alias("contaminated"))
 
