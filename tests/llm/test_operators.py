@@ -347,6 +347,21 @@ def test_a_row_per_document_row(spark, docs, rows, block):
     assert clean.count() == sum(not r[-1] for r in brute_hits([*rows, *more], items, 10))
 
 
+@pytest.mark.parametrize("block", [1 << 24, 100])
+def test_items_without_id(spark, docs, rows, block):
+    """As the SQL has it: found and counted as one item, without a place in the list of ids."""
+    text = rows[6][1].split()
+    items = [(None, " ".join(text[:14])), (None, " ".join(text[50:62])), (3, " ".join(text[5:25]))]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    want = [(*r[:4], hashlib.sha256(b"3").hexdigest() if r[3] == 2 else r[4], r[5]) for r in brute_hits(rows, items, 10)]
+    assert any(r[3] == 2 for r in want)
+    matches([tuple(r) for r in decontaminate.report(docs, bench, 10, block).collect()], want)
+    alone = bench.where("item_id is null")
+    found = brute_hits(rows, items[:2], 10)
+    assert {r["items_sha256"] for r in decontaminate.report(docs, alone, 10, block).where("contaminated").collect()} == {hashlib.sha256(b"").hexdigest()}
+    assert decontaminate.decontaminate(docs, alone, 10, block).count() == sum(not r[-1] for r in found) < len(rows)
+
+
 # Packing, WARC, TIFF ---------------------------------------------------------------------------------------------
 
 

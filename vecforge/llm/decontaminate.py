@@ -7,7 +7,8 @@ one block. A larger benchmark is dealt to blocks by a hash; one block at a time
 given up, and the blocks' findings (hits only, without text) are merged by a 128-bit hash of id and text.
 
 Defined cases: a null or empty text has no words and no hits. An item without words never matches. An item of fewer
-words than the window is one window. Items with the same text are each reported. Each document row gives a row,
+words than the window is one window. Items with the same text are each reported. Items whose item_id is null
+match like others; all of them count as one in n_items, and items_sha256 leaves them out. Each document row gives a row,
 repeated and null doc_ids too, whatever the benchmark's size. Columns of documents beyond id and text are ignored.
 """
 
@@ -33,7 +34,7 @@ BITS, PER_KEY = 21, 3
 SPANS, ITEMS = "array<struct<first: bigint, last: bigint>>", "array<string>"
 
 
-def item_suffixes(rows: list[tuple[str, str]], window: int) -> dict:
+def item_suffixes(rows: list[tuple[str | None, str]], window: int) -> dict:
     """Word hashes of the items end to end, and the suffixes that hold a whole window."""
     powers, ids, hashes, at, length, item = Powers(), [], [], [], [], []
     total = 0
@@ -174,7 +175,7 @@ def scan(documents: DataFrame, shared: Broadcast) -> DataFrame:
                         items[row].add(tests["ids"][k])
                 out[0].extend(np.diff(first).tolist())
                 out[1].extend([{"first": s, "last": e} for s, e in x] for x in spans)
-                out[2].extend(sorted(x) for x in items)
+                out[2].extend(sorted(x, key=lambda i: (i is None, i or "")) for x in items)
             kinds = [pa.int64(), pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])), pa.list_(pa.string())]
             found = [pa.array(x, k) for x, k in zip(out, kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], *found], [*kept, "n_words", "spans", "items"])
@@ -186,7 +187,7 @@ def find(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, block
     """Verbatim benchmark matches by document: doc_id, n_words, spans of words hit, item ids."""
     spark = documents.sparkSession
     doc_id = F.col("doc_id").cast("long").alias("doc_id")
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null and item_id is not null")
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = -(-size // block_bytes) or 1
 
