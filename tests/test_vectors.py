@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from vecforge.functions import codec, distance
 from vecforge.operators import caches, evaluate, exact, graph, layout, pq, table, traverse
+from vecforge.plans import queries
 from vecforge.plans.options import BuildOptions, SearchOptions
 from vecforge.sources import vectors
 from vecforge.streaming import upserts
@@ -167,6 +168,13 @@ def test_policies():
             assert [cache.access(b, i) for i, b in enumerate(blocks)] == out
 
 
+def test_missing_in_every_batch(spark, sf):
+    t = queries.trace(spark, sf).select("query_no", "block_id").collect()
+    batches = {q: {r["block_id"] for r in t if r["query_no"] == q} for q in {r["query_no"] for r in t}}
+    want = sorted((q, b) for q, own in batches.items() for b in own - batches.get(q - 1, set()))
+    assert len(batches) > 2 and sorted(map(tuple, queries.c9_all(spark, sf).select("query_no", "block_id").collect())) == want
+
+
 def test_block_sizes():
     assert layout.vector_capacity(65536, 128) == 126
     with pytest.raises(ValueError):

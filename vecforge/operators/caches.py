@@ -116,6 +116,13 @@ def missing(batch: DataFrame, cached: DataFrame) -> DataFrame:
     return batch.join(cached, "block_id", "left_anti")
 
 
+def missing_by_batch(trace: DataFrame) -> DataFrame:
+    """query_no and block_id of the blocks of each batch that the batch before doesn't hold; all of a batch without one before."""
+    batches = trace.select("query_no", "block_id").distinct()
+    held = batches.select((F.col("query_no") + 1).alias("query_no"), "block_id")
+    return batches.join(held, ["query_no", "block_id"], "left_anti")
+
+
 def recent(trace: DataFrame, n: int, most: int = 1024) -> DataFrame:
     """The last n accesses, at most so many."""
     return trace.orderBy(F.desc("seq")).limit(min(n, most))

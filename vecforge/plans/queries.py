@@ -578,6 +578,12 @@ def c9(spark, d):
     return caches.missing(t.where("query_no = 1").select("block_id").distinct(), t.where("query_no = 0").select("block_id").distinct())
 
 
+@register("c9_batch_missing_all", f"with {SQL_TRACE}, u as (select distinct query_no, block_id from t) select query_no, block_id from u where not exists (select 1 from u p where p.query_no = u.query_no - 1 and p.block_id = u.block_id)")
+def c9_all(spark, d):
+    """c9 for every batch of the table; its own SQL has the second batch alone."""
+    return caches.missing_by_batch(trace(spark, d))
+
+
 @register("c10_recent", f"with {SQL_TRACE} select seq, block_id from t order by seq desc limit 1024")
 def c10(spark, d):
     return caches.recent(trace(spark, d).select("seq", "block_id"), 5000)
