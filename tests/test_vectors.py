@@ -175,6 +175,17 @@ def test_missing_in_every_batch(spark, sf):
     assert len(batches) > 2 and sorted(map(tuple, queries.c9_all(spark, sf).select("query_no", "block_id").collect())) == want
 
 
+def test_sweep_has_all_values(spark, sf):
+    got = {r["ef"]: r["recall"] for r in queries.a5(spark, sf).collect()}
+    assert sorted(got) == evaluate.sweep_values(queries.K) and got[460] >= 0.95
+
+
+def test_distance_tables_of_all_queries(spark, sf):
+    asked = {r["query_id"] for r in queries.asked(queries.base(spark, sf)).collect()}
+    got = [(r["query_id"], r["m"], r["k"]) for r in queries.q5_all(spark, sf).collect()]
+    assert {q for q, _, _ in got} == asked and len(got) == len(set(got)) == len(asked) * queries.M * queries.CENTROIDS
+
+
 def test_block_sizes():
     assert layout.vector_capacity(65536, 128) == 126
     with pytest.raises(ValueError):
