@@ -271,6 +271,21 @@ def test_language_cases(spark, docs):
     assert language.identify(docs.where("lang is null")).count() == 0
 
 
+def test_language_sample_of_many_copies(spark, monkeypatch):
+    """The sample is of distinct texts, however many rows repeat them; a wrong count only widens the filter."""
+    distinct = [(f"text {'ab' if i % 2 else 'ñé'} {i}", "en" if i % 2 else "fr") for i in range(10)]
+    few = spark.createDataFrame(distinct, "text string, lang string")
+    copies = few.join(spark.range(2000).select())
+    want = language.sample_windows(few, 40)
+    got = language.sample_windows(copies, 40)
+    assert len(want[0]) == 10 and (got[0] == want[0]).all() and got[1] == want[1]
+    five = language.sample_windows(copies, 5)
+    assert len(five[0]) == 5 and (five[0] == language.sample_windows(few, 5)[0]).all()
+    monkeypatch.setattr(F, "approx_count_distinct", lambda c: F.count("*"))
+    got = language.sample_windows(copies, 40)
+    assert (got[0] == want[0]).all() and got[1] == want[1]
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     labels = spark.read.parquet(f"{sf}/labels.parquet")

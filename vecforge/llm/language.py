@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import chunks, crc_mod, table, text_buffer, thinned
+from .common import chunks, crc_mod, table, text_buffer
 
 #: Bytes of a window, filter widths and filters of each width.
 LENGTH, WIDTHS, FILTERS = 256, (2, 3, 4), 12
@@ -115,11 +115,23 @@ def train(windows: np.ndarray, labels: np.ndarray, langs: list[str], seed: int =
     return Network(langs, params[: len(WIDTHS)], *params[len(WIDTHS) :])
 
 
+def last_chosen(hashes: DataFrame, rows: int) -> int | None:
+    """The greatest of so many least distinct 64-bit hashes h, or of all; copies of a text count once."""
+    share = 4 * rows / max(1, hashes.agg(F.approx_count_distinct("h")).first()[0])
+    while True:
+        # A filter bounds what is sorted; where it leaves too few, it is widened.
+        part = hashes.where(F.col("h") < int(-(1 << 63) + (1 << 64) * share)) if share < 1 else hashes
+        found, last = part.distinct().orderBy("h").limit(rows).agg(F.count("*"), F.max("h")).first()
+        if found >= rows or share >= 1:
+            return last
+        share *= 4
+
+
 def sample_windows(labelled: DataFrame, rows: int = SAMPLE_ROWS) -> tuple[np.ndarray, list[str]]:
     """At most ROW_WINDOWS windows, spread over the whole text, of each of at most so many rows, chosen by a hash."""
     usable = labelled.where("text is not null and lang is not null and text <> ''").select("text", "lang", F.xxhash64("text", F.lit(11)).alias("h"))
     # Only hashes are sorted, of a few times the rows wanted; then the texts up to the last one chosen are taken, one row of each.
-    last = thinned(usable.select("h"), F.col("h"), 4 * rows).distinct().orderBy("h").limit(rows).agg(F.max("h")).first()[0]
+    last = last_chosen(usable.select("h"), rows)
     if last is None:
         return np.zeros((0, LENGTH), np.uint8), []
     chosen = usable.where(F.col("h") <= last).groupBy("h").agg(F.min("text").alias("text"), F.min("lang").alias("lang"))
