@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,8 +28,11 @@ def shared_folder(spark: SparkSession) -> str:
     """The folder for checkpoints and written tables that all executors share."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        # spark.checkpoint.dir is the cluster's shared folder; a local one is only for local sessions that name none.
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vecforge-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
+        # A local session that names none gets a folder of its own.
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vecforge-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -37,6 +42,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The same rows, written to and read from a compressed table in the shared folder: for tables that are read more than once."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def tasks(spark: SparkSession, least: int = 1) -> int:
     """Shuffle partitions that the session asks for."""
     return max(least, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -85,6 +97,45 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+#: Multipliers of span_hashes, and the bytes beyond which a span goes through blake2b instead of rounds of 8 bytes.
+MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], np.uint64)
+LONG_SPAN = 256
+MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
+
+
+def span_hashes(padded: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the bytes start..end of an array with 8 more bytes at its end.
+
+    Every round of 8 bytes is mixed in by a multiplication and a shift, which no two values of a round survive alike, so
+    that repetitive texts collide no more often than others do; a polynomial modulo 2**64 would let them.
+    """
+    words_ = np.ndarray((len(padded) - 7,), "<u8", padded.data, 0, (1,))
+    size = end - start
+    with np.errstate(over="ignore"):
+        h = (size.astype(np.uint64) + np.uint64(seed)) * MIX[0]
+        at, who, left = start, None, size
+        while True:
+            part = words_[at] & MASKS[np.minimum(left, 8)]
+            old = h if who is None else h[who]
+            new = (old ^ (old >> np.uint64(32)) ^ part) * MIX[1]
+            new ^= new >> np.uint64(29)
+            if who is None:
+                h = new
+            else:
+                h[who] = new
+            more = np.flatnonzero((left > 8) & (left <= LONG_SPAN))
+            if not len(more):
+                break
+            who = more if who is None else who[more]
+            # Spans under way are those with rounds to come; LONG_SPAN is compared with their whole size.
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > LONG_SPAN).tolist():
+            digest = hashlib.blake2b(padded[start[i] : end[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little"))
+            h[i] = int.from_bytes(digest.digest(), "little")
+        h = (h ^ (h >> np.uint64(32))) * MIX[2]
+    return h ^ (h >> np.uint64(29))
+
+
 def lower_table() -> np.ndarray:
     t = np.arange(256, dtype=np.uint8)
     t[65:91] += 32
@@ -108,15 +159,17 @@ ALNUM = byte_class([(0x00, 0x2F), (0x3A, 0x60), (0x7B, 0x7F)], outside=True)
 NONSPACE = byte_class([(0x20, 0x20), (0x09, 0x0D)], outside=True)
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words of the rows between offsets[0] and offsets[-1], ASCII lower-cased.
 
     kind marks the bytes that words consist of. Gives start and end of each word within the chunk, its 64-bit hash,
     and for each row the index of its first word (one entry more than rows).
     """
     base = int(offsets[0])
-    low = LOWER[data[base : int(offsets[-1])]]
-    n = len(low)
+    n = int(offsets[-1]) - base
+    padded = np.zeros(n + 8, np.uint8)
+    low = padded[:n]
+    np.take(LOWER, data[base : base + n], out=low)
     edge = np.unique(offsets - base)
     edge = edge[(edge > 0) & (edge < n)]
     inside = kind[low]
@@ -130,13 +183,7 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray, powers: Power
     begins[edge] |= inside[edge]
     ends[edge] |= inside[edge - 1]
     start, end = np.flatnonzero(begins), np.flatnonzero(ends)
-    up, down = powers.to(n + 1)
-    with np.errstate(over="ignore"):
-        prefix = np.empty(n + 1, np.uint64)
-        prefix[0] = 0
-        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:n], out=prefix[1:])
-        h = mixed((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
-    return start, end, h, np.searchsorted(start, offsets - base)
+    return start, end, span_hashes(padded, start, end), np.searchsorted(start, offsets - base)
 
 
 def thinned(df: DataFrame, h, rows: int) -> DataFrame:

@@ -1,13 +1,15 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
 Each shard (a bounded chunk of whole documents) gets a suffix array of its words. Every suffix of every benchmark item
-is binary-searched in each shard; the range that shares a window's words is extended to the longest verbatim matches,
-whose locations mark the words hit. All is local to a document, so that nothing is shuffled while the benchmark fits
+is binary-searched in each shard, suffixes that begin with the same window as one; the range that shares a window's words
+is compared by whole 64-bit hashes of the words, and tells the places. Matches of neighbouring places unite to the longest
+verbatim ones, whose locations mark the words hit. A place meets one window of each length, so that the matches of a
+shard are bounded by its words however often words repeat. All is local to a document, so that nothing is shuffled while the benchmark fits
 one block. A larger benchmark is dealt to blocks by a hash; one block at a time is collected, broadcast, searched and
 given up, and the blocks' findings (hits only, without text) are merged by a 128-bit hash of id and text.
 
 Defined cases: a null or empty text has no words and no hits. An item without words never matches. An item of fewer
-words than the window is one window. Items with the same text are each reported. Items whose item_id is null
+words than the window is one window. An item is held whole, however long. Items with the same text are each reported. Items whose item_id is null
 match like others; all of them count as one in n_items, and items_sha256 leaves them out. Each document row gives a row,
 repeated and null doc_ids too, whatever the benchmark's size. Columns of documents beyond id and text are ignored.
 """
@@ -22,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ALNUM, Powers, chunks, cut, table, text_buffer, words
+from .common import ALNUM, chunks, cut, mixed, table, text_buffer, words
 
 #: Words of a window.
 WINDOW = 10
@@ -35,26 +37,35 @@ SPANS, ITEMS = "array<struct<first: bigint, last: bigint>>", "array<string>"
 
 
 def item_suffixes(rows: list[tuple[str | None, str]], window: int) -> dict:
-    """Word hashes of the items end to end, and the suffixes that hold a whole window."""
-    powers, ids, hashes, at, length, item = Powers(), [], [], [], [], []
-    total = 0
+    """Word hashes of the items end to end, a suffix for each distinct window that items hold, and the items of each."""
+    ids, hashes = [], []
     for item_id, text in rows:
-        column = pa.array([text], pa.string())
-        data, offsets = text_buffer(column)
-        h = words(data, offsets, ALNUM, powers)[2]
-        if not len(h):
-            continue
-        need = min(window, len(h))
-        for s in range(len(h) - need + 1):
-            at.append(total + s)
-            length.append(len(h) - s)
-            item.append(len(ids))
-        total += len(h)
-        hashes.append(h)
-        ids.append(item_id)
+        data, offsets = text_buffer(pa.array([text], pa.string()))
+        h = words(data, offsets, ALNUM)[2]
+        if len(h):
+            hashes.append(h)
+            ids.append(item_id)
     h = np.concatenate(hashes) if hashes else np.empty(0, np.uint64)
-    length = np.array(length, np.int64)
-    return {"ids": ids, "hashes": h, "at": np.array(at, np.int64), "length": length, "item": np.array(item, np.int64), "need": np.minimum(window, length), "window": window}
+    size = np.array([len(x) for x in hashes], np.int64)
+    first, need = np.cumsum(size) - size, np.minimum(window, size)
+    n = size - need + 1
+    item = np.repeat(np.arange(len(size)), n)
+    at = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + first[item]
+    need = need[item]
+    # Equal windows have equal sums of their words' hashes, each times its place's factor: two sums tell them apart.
+    factors = np.random.default_rng(20250901).integers(1, 1 << 63, (2, window + 1), np.uint64) * np.uint64(2) + np.uint64(1)
+    sums = np.zeros((2, len(at)), np.uint64)
+    with np.errstate(over="ignore"):
+        for j in range(window):
+            has = np.flatnonzero(need > j)
+            for k in range(2):
+                sums[k, has] += mixed(h[at[has] + j] + factors[k, j]) * factors[k, j + 1]
+    order = np.lexsort((item, need, sums[1], sums[0]))
+    same = (sums[:, order[1:]] == sums[:, order[:-1]]).all(axis=0) & (need[order[1:]] == need[order[:-1]])
+    new = np.flatnonzero(np.concatenate(([True], ~same))) if len(order) else order
+    items = np.split(item[order], new[1:]) if len(order) else []
+    chosen = order[new]
+    return {"ids": ids, "hashes": h, "at": at[chosen], "items": [np.unique(x) for x in items], "need": need[chosen], "window": window}
 
 
 def short(h: np.ndarray) -> np.ndarray:
@@ -85,7 +96,7 @@ def narrow(keys: np.ndarray, lo: np.ndarray, hi: np.ndarray, target: np.ndarray,
 
 
 def search(h: np.ndarray, first: np.ndarray, tests: dict, vocabulary: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Longest matches of the test suffixes in a shard: word position, words matched, item."""
+    """Matches of the windows in a shard: word position, words matched, window."""
     none = np.empty(0, np.int64)
     if not len(tests["at"]) or not len(h):
         return none, none, none
@@ -127,16 +138,11 @@ def search(h: np.ndarray, first: np.ndarray, tests: dict, vocabulary: np.ndarray
     test = np.repeat(found, n)
     place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo, n)
     pos, stop = at[place], end[place]
-    matched, alive = np.zeros(len(pos), np.int64), np.arange(len(pos))
-    while len(alive):  # extends each match by whole hashes, word by word, to its longest
-        j = matched[alive]
-        ok = (pos[alive] + j < stop[alive]) & (j < tests["length"][test[alive]])
-        alive, j = alive[ok], j[ok]
-        same = h[pos[alive] + j] == th[t_at[test[alive]] + j]
-        alive = alive[same]
-        matched[alive] += 1
-    whole = matched >= need[test]
-    return pos[whole], matched[whole], tests["item"][test[whole]]
+    whole = pos + need[test] <= stop
+    for j in range(tests["window"]):  # by whole hashes, word by word
+        more = np.flatnonzero(whole & (need[test] > j))
+        whole[more] = h[pos[more] + j] == th[t_at[test[more]] + j]
+    return pos[whole], need[test[whole]], test[whole]
 
 
 def scan(documents: DataFrame, shared: Broadcast) -> DataFrame:
@@ -144,15 +150,15 @@ def scan(documents: DataFrame, shared: Broadcast) -> DataFrame:
     kept = documents.columns[:-1]
 
     def run(batches):
-        tests, powers = shared.value, Powers()
+        tests = shared.value
         vocabulary = np.zeros(1 << BITS, bool)
         vocabulary[short(tests["hashes"][tests["at"]]).astype(np.int64)] = True
         for batch in batches:
             data, offsets = text_buffer(batch.column(len(kept)))
             out: tuple[list, ...] = ([], [], [])
             for a, b in chunks(offsets):
-                _, _, h, first = words(data, offsets[a : b + 1], ALNUM, powers)
-                pos, length, item = search(h, first, tests, vocabulary)
+                _, _, h, first = words(data, offsets[a : b + 1], ALNUM)
+                pos, length, match = search(h, first, tests, vocabulary)
                 spans: list = [[] for _ in range(b - a)]
                 items: list = [set() for _ in range(b - a)]
                 if len(pos):
@@ -170,9 +176,9 @@ def scan(documents: DataFrame, shared: Broadcast) -> DataFrame:
                             if s < to:
                                 spans[row].append((s - int(first[row]), to - int(first[row])))
                             s, row = to, row + 1
-                    pairs = np.unique(np.stack([np.searchsorted(first, pos, "right") - 1, item]), axis=1)
+                    pairs = np.unique(np.stack([np.searchsorted(first, pos, "right") - 1, match]), axis=1)
                     for row, k in pairs.T.tolist():
-                        items[row].add(tests["ids"][k])
+                        items[row].update(tests["ids"][i] for i in tests["items"][k].tolist())
                 out[0].extend(np.diff(first).tolist())
                 out[1].extend([{"first": s, "last": e} for s, e in x] for x in spans)
                 out[2].extend(sorted(x, key=lambda i: (i is None, i or "")) for x in items)

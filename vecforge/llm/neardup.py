@@ -1,7 +1,8 @@
 """Near-duplicate groups: MinHash signatures, a multi-index Hamming join, exact confirmation on the full sets.
 
-A document's set is that of the hashes of its distinct word shingles. Equal sets become one class first, so that exact
-copies cost nothing further. A class has a signature of CHUNKS x WIDTH symbols of 16 bits, each from one min-wise hash.
+A document's set is that of the 64-bit hashes of its distinct word shingles. Equal sets become one class first, so that exact
+copies cost nothing further; sets of one shingle are told apart by its bytes, and link with nothing but their own class,
+as any other set shares half of its shingles with them at most. A larger class has a signature of CHUNKS x WIDTH symbols of 16 bits, each from one min-wise hash.
 
 Pigeonhole: two signatures that differ in fewer than CHUNKS * 2 symbols agree in some chunk but for one symbol at most.
 Each chunk gives one key for each symbol that may be wrong (that symbol left out), so every such pair shares a key. At
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NONSPACE, Powers, chunks, cut, mixed, table, text_buffer, words
+from .common import LOWER, NONSPACE, chunks, cut, mixed, stored, table, text_buffer, words
 from .graph import components
 from .substrings import packed
 
@@ -41,13 +42,14 @@ FLIPS = _RNG.integers(0, 1 << 63, SYMBOLS, np.uint64)
 STEPS = _RNG.integers(1, 1 << 63, 64, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, powers: Powers) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each row between the offsets."""
-    _, _, h, first = words(data, offsets, NONSPACE, powers)
+def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int) -> tuple[list[np.ndarray], list[bytes]]:
+    """Sorted distinct shingle hashes of each row between the offsets, and what tells equal sets: hashes, or the bytes of a lone shingle."""
+    start, end, h, first = words(data, offsets, NONSPACE)
+    base = int(offsets[0])
     with np.errstate(over="ignore"):
         n = max(0, len(h) - k + 1)
         whole = mixed(sum((h[j : j + n] * STEPS[j] for j in range(k)), np.zeros(n, np.uint64)))
-        out = []
+        out, names = [], []
         for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
             if b - a >= k:
                 out.append(np.unique(whole[a : b - k + 1]))
@@ -55,11 +57,15 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, k: int, powers: Powers)
                 out.append(mixed(np.array([(h[a:b] * STEPS[: b - a]).sum() + np.uint64(b - a)], np.uint64)))
             else:
                 out.append(np.empty(0, np.uint64))
-    return out
+            if len(out[-1]) == 1:
+                names.append(b"one " + b" ".join(LOWER[data[base + start[i] : base + end[i]]].tobytes() for i in range(a, min(b, a + k))))
+            else:
+                names.append(out[-1].tobytes())
+    return out, names
 
 
 def signatures(sets: list[np.ndarray]) -> np.ndarray:
-    """Rows of SYMBOLS 16-bit symbols; no set may be empty."""
+    """A row of SYMBOLS 16-bit symbols for each set; none may be empty."""
     if not sets:
         return np.empty((0, SYMBOLS), np.uint16)
     flat = np.concatenate(sets)
@@ -72,19 +78,18 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def sketched(documents: DataFrame, k: int) -> DataFrame:
-    """Per document: row key, set size, digest of the set and signature (null if the set is empty)."""
+    """Per document: row key, set size, digest of the set and signature (null for sets of one and none)."""
 
     def run(batches):
-        powers = Powers()
         for batch in batches:
             data, offsets = text_buffer(batch.column(1))
             n, digest, sign = [], [], []
             for a, b in chunks(offsets):
-                sets = shingle_sets(data, offsets[a : b + 1], k, powers)
+                sets, names = shingle_sets(data, offsets[a : b + 1], k)
                 n.extend(len(s) for s in sets)
-                digest.extend(hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets)
-                rows = iter(signatures([s for s in sets if len(s)]))
-                sign.extend(next(rows).tobytes() if len(s) else None for s in sets)
+                digest.extend(hashlib.blake2b(x, digest_size=16).digest() for x in names)
+                rows = iter(signatures([s for s in sets if len(s) > 1]))
+                sign.extend(next(rows).tobytes() if len(s) > 1 else None for s in sets)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())], ["doc_id", "k1", "k2", "n", "digest", "sign"])
 
     keyed = documents.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("k1"), F.xxhash64("doc_id", "text", F.isnull("doc_id")).alias("k2"))
@@ -112,7 +117,7 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
 
 
 def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """The pairs whose signatures differ in fewer than 2 * CHUNKS symbols and whose sizes allow a link."""
+    """The pairs whose signatures differ in fewer than 2 * CHUNKS symbols."""
 
     def run(batches):
         for batch in batches:
@@ -147,12 +152,12 @@ def linked(sets: list[np.ndarray], num: int, den: int, slab: int = 4096) -> np.n
     what = np.unique(what, return_inverse=True)[1]
     order = np.argsort(what, kind="stable")
     who, what = place[who[order]], what[order]
-    common = np.zeros((len(index), len(index)), np.float32)
+    common = np.zeros((len(index), len(index)), np.int64)
     for first in range(0, int(what[-1]) + 1 if len(what) else 0, slab):
         a, b = np.searchsorted(what, (first, first + slab))
         m = np.zeros((len(index), min(slab, int(what[-1]) + 1 - first)), np.float32)
         m[who[a:b], what[a:b] - first] = 1
-        common += m @ m.T
+        common += (m @ m.T).astype(np.int64)  # exact: a slab's counts stay under 2**24
     sizes = size[index]
     links = common * (num + den) >= num * (sizes[:, None] + sizes[None, :])
     seen = np.zeros(len(index), bool)
@@ -177,7 +182,7 @@ def family_links(members: DataFrame, documents: DataFrame, k: int, num: int, den
     meet = packed(documents).join(members, ["k1", "k2"]).dropDuplicates(["node"])
 
     def to_sets(batches):
-        codec, powers = pa.Codec("zstd"), Powers()
+        codec = pa.Codec("zstd")
         for whole in batches:
             for at in range(0, whole.num_rows, 500):
                 batch = whole.slice(at, 500)
@@ -185,7 +190,7 @@ def family_links(members: DataFrame, documents: DataFrame, k: int, num: int, den
                 texts = [codec.decompress(x, n, asbytes=True) if n else b"" for x, n in zip(z, size, strict=True)]
                 offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
                 data = np.frombuffer(b"".join(texts), np.uint8)
-                sets = [s.tobytes() for a, b in chunks(offsets) for s in shingle_sets(data, offsets[a : b + 1], k, powers)]
+                sets = [s.tobytes() for a, b in chunks(offsets) for s in shingle_sets(data, offsets[a : b + 1], k)[0]]
                 yield pa.RecordBatch.from_arrays([batch.column(2), batch.column(3), batch.column(4), pa.array(sets, pa.binary())], ["node", "family", "parts", "hashes"])
 
     sets = meet.select("n_bytes", "z", "node", "family", "parts").mapInArrow(to_sets, "node long, family long, parts long, hashes binary")
@@ -211,10 +216,10 @@ def family_links(members: DataFrame, documents: DataFrame, k: int, num: int, den
 
 def groups(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept, and the row key k1, k2."""
-    sketch = sketched(documents, k)
+    sketch = stored(sketched(documents, k))
     classes = sketch.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min(F.struct("k1", "k2")).alias("one"), F.min("sign").alias("sign"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    keys = chunk_keys(classes)
+    keys = chunk_keys(classes.where("sign is not null"))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     ends = F.when(F.col("n") <= FEW, F.array("lo", "hi")).otherwise(F.array("lo"))
     edges = keys.join(shared, "key").select("node", (F.col("n") <= FEW).alias("few"), F.explode(ends).alias("end")).where("node <> end")
