@@ -10,7 +10,7 @@ from vecforge.functions import codec, distance
 from vecforge.operators import caches, evaluate, exact, graph, layout, pq, table, traverse
 from vecforge.plans import queries
 from vecforge.plans.options import BuildOptions, SearchOptions
-from vecforge.sources import vectors
+from vecforge.sources import files, vectors
 from vecforge.streaming import upserts
 
 VECTORS = [[1.0, 0, 0], [0, 1.0, 0], [0, 0, 1.0], [1.0, 0, 1.0], [1.0, 1.0, 1.0]]
@@ -147,6 +147,118 @@ def test_graph_search_recall(spark):
         assert graph.integrity(base.select("id"), edges).first()["self_loops"] == 0
 
 
+def test_blocks_and_carried_best_agree(spark, monkeypatch):
+    """Both ways of finding the nearest, over many partitions, steps and blocks, with ties and more wanted than there are."""
+    rng = np.random.default_rng(5)
+    x = rng.integers(0, 3, (300, 4)).astype(float)
+    base, q = frame(spark, enumerate(x)).repartition(5), frame(spark, enumerate(x[:50]), "query_id")
+    d = ((x[:50, None, :] - x[None, :, :]) ** 2).sum(axis=2)
+    want = sorted((i, int(j), d[i, j], r + 1) for i in range(50) for r, j in enumerate(np.lexsort((np.arange(300), d[i]))[:7]))
+    for step, rows, limit in ((2048, 8192, 1 << 30), (16, 40, 1 << 30), (16, 40, 100)):
+        monkeypatch.setattr(exact, "STEP", step)
+        monkeypatch.setattr(exact, "BLOCK_ROWS", rows)
+        monkeypatch.setattr(exact, "QUERY_BYTES", limit)
+        got = exact.knn(base, q, 7).select("query_id", "id", "dist", "rank").collect()
+        assert sorted(map(tuple, got)) == want
+    assert exact.knn(base.where("id < 3"), q, 7).count() == 150 and exact.knn(base.where("id < 0"), q, 7).count() == 0
+    assert exact.knn(base, q.where("query_id < 0"), 7).count() == 0
+
+
+def test_no_vectors_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(exact, "query_blocks", lambda queries: pytest.fail("the base was collected"))
+    assert graph.knn_graph(frame(spark, enumerate(VECTORS)), 2).count() == 10
+
+
+def test_documents_by_a_plain_version(spark, monkeypatch):
+    monkeypatch.setattr(exact, "STEP", 8)
+    rng = np.random.default_rng(6)
+    x, docs = rng.integers(0, 4, (120, 3)).astype(float), rng.integers(0, 9, 120).tolist()
+    base = spark.createDataFrame([(i, v.tolist(), docs[i]) for i, v in enumerate(x)], "id long, v array<double>, doc_id long").repartition(4)
+    got = exact.documents(base, frame(spark, enumerate(x[:10]), "query_id"), 3).collect()
+    for i in range(10):
+        order = sorted((float(((x[i] - v) ** 2).sum()), j) for j, v in enumerate(x))
+        seen, want = set(), []
+        for _, j in order:
+            if len(seen | {docs[j]}) > 3:
+                break
+            seen.add(docs[j])
+            want.append(j)
+        assert [r["id"] for r in sorted((r for r in got if r["query_id"] == i), key=lambda r: r["rank"])] == want
+
+
+def test_lockstep_search_and_descent(spark):
+    """Queries in lockstep find what each finds alone; the walk through the upper levels ends where a plain one does."""
+    rng = np.random.default_rng(8)
+    x = rng.random((600, 8))
+    index = traverse.build_index(frame(spark, enumerate(x)), BuildOptions(m=4, ef_construction=30, shard=250)).cache()
+    q = frame(spark, enumerate(x[:25]), "query_id")
+    for width in (1, 3):
+        alone, together = (traverse.search_index(index, q, SearchOptions(ef=20, beam_width=width, lockstep=many)).select("query_id", "rank", "id", "dist").collect() for many in (False, True))
+        assert sorted(map(tuple, alone)) == sorted(map(tuple, together))
+    nodes = {r["id"]: r for r in index.collect()}
+    for r in traverse.entry_points(index, q).collect():
+        at = next(n for n in nodes.values() if n["shard"] == r["shard"] and n["entry"])
+        dist = lambda n: ((x[r["query_id"]] - x[n]) ** 2).sum()  # noqa: B023, E731
+        for level in range(at["level"], 0, -1):
+            while True:
+                near = min(at["links"][level], key=lambda n: (dist(n), at["links"][level].index(n)), default=at["id"])
+                if dist(near) >= dist(at["id"]):
+                    break
+                at = nodes[near]
+        assert at["id"] == r["id"]
+
+
+def test_graph_prefetch(spark):
+    trace = [(1, 0), (2, 1), (3, 0), (4, 2), (5, 1)]
+    near = {0: [1, 2], 1: [0], 2: [1, 3], 3: [0]}
+    edges = [(a, b, i + 1) for a, bs in near.items() for i, b in enumerate(bs)]
+    got = {r["kind"]: (r["fetched"], r["useful"]) for r in caches.graph_prefetch(spark.createDataFrame(trace, "seq long, node long"), spark.createDataFrame(edges, "src long, dst long, pos int"), 2, 1).collect()}
+    soon = lambda seq, n: any(n == m and seq < t <= seq + 2 for t, m in trace)
+    one = {(t, y) for t, n in trace for y in near[n]}
+    two = one | {(t, z) for t, n in trace for y in near[n][:1] for z in near[y]}
+    ahead = {(t, y) for (t, _), (_, n) in zip(trace, trace[1:], strict=False) for y in near[n]}
+    assert got == {k: (len(v), sum(soon(*x) for x in v)) for k, v in (("one_hop", one), ("two_hop", two), ("lookahead", ahead))}
+
+
+def test_files_by_ranges(spark, tmp_path):
+    """Written by partitions, read by ranges; damaged files are an error where the range is read."""
+    for kind, rows in (("fvecs", np.arange(90, dtype=np.float32).reshape(30, 3)), ("bvecs", (np.arange(90) % 256).reshape(30, 3)), ("ivecs", np.arange(90).reshape(30, 3) - 40)):
+        path = str(tmp_path / kind)
+        typed = "array<float>" if kind == "fvecs" else "array<int>"
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)], f"id long, v {typed}")
+        files.write(df, path, kind, files=3)
+        files.write(df, path, kind, files=4)
+        back = sorted((r["path"], r["row"], r["v"]) for r in files.read(spark, path, kind, split=4).collect())
+        assert [v for _, _, v in back] == rows.tolist()
+        one = back[0][0]
+        assert files.read(spark, one, kind, strict=True).count() == sum(p == one for p, _, _ in back)
+        with open(one, "ab") as f:
+            f.write(b"\1\0")
+        assert files.read(spark, one, kind).count() == sum(p == one for p, _, _ in back)
+        with pytest.raises(Exception, match="ends within a record"):
+            files.read(spark, one, kind, strict=True).collect()
+    (tmp_path / "bad.fvecs").write_bytes(vectors.pack(np.zeros((2, 3)), "fvecs") + vectors.pack(np.zeros((1, 7)), "fvecs"))
+    with pytest.raises(Exception, match="different lengths"):
+        files.read(spark, str(tmp_path / "bad.fvecs")).collect()
+    with pytest.raises(Exception, match="different lengths"):
+        files.write(spark.createDataFrame([(0, [1.0]), (1, [1.0, 2.0])], "id long, v array<float>"), str(tmp_path / "odd"), files=1)
+    assert files.read(spark, str(tmp_path / "odd")).count() == 0
+
+
+def test_order_beyond_doubles(spark):
+    big = [(1 << 60) + i for i in range(200)]
+    got = table.numbered(spark.createDataFrame([(x,) for x in big], "x long"), "x", "n").collect()
+    assert {r["x"]: r["n"] for r in got} == {x: i for i, x in enumerate(big)}
+
+
+def test_broken_index_is_found(spark):
+    ids = frame(spark, [(i, [1.0]) for i in range(4)])
+    order = spark.createDataFrame([(0, 0), (1, 1), (2, 1), (7, 9)], "old_id long, new_id long")
+    routes = spark.createDataFrame([(0, 0), (0, 1)], "node_id long, block_id long")
+    bad = graph.verify(ids.unionByName(frame(spark, [(0, [float("nan")])])), spark.createDataFrame([(0, 9)], "src long, dst long"), order, routes)
+    assert {r["check"]: r["failures"] for r in bad.collect()} == {"edge_range": 1, "nan_vectors": 1, "label_unique": 1, "order_unique": 1, "order_range": 1, "order_covers": 1, "one_block": 1, "route_covers": 3}
+
+
 def test_policies():
     rng = np.random.default_rng(3)
     blocks = (rng.zipf(1.4, 500) % 40).tolist()

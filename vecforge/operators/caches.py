@@ -133,7 +133,8 @@ def prefetch_report(trace: DataFrame, window: int) -> DataFrame:
     need = trace.select("cache_id", F.col("block_id").alias("wanted"), F.col("seq").alias("used"))
     made = trace.select("cache_id", (F.col("block_id") + 1).alias("wanted"), F.col("seq").alias("made"))
     both = made.select("cache_id", "wanted", F.col("made").alias("seq"), F.lit(None).cast("long").alias("used")).unionByName(need.select("cache_id", "wanted", F.col("used").alias("seq"), "used"))
-    w = Window.partitionBy("cache_id", "wanted").orderBy("seq").rowsBetween(1, Window.unboundedFollowing)
+    # The next use is a running minimum from the trace's end; a frame that shrinks would be summed anew at every access.
+    w = Window.partitionBy("cache_id", "wanted").orderBy(F.desc("seq")).rowsBetween(Window.unboundedPreceding, -1)
     fate = both.withColumn("next", F.min("used").over(w)).where("used is null")
     gap = F.col("next") - F.col("seq")
     return fate.groupBy(F.when(gap.isNull(), "wasted").when(gap <= window, "timely").otherwise("late").alias("fate")).agg(F.count("*").alias("n"))
@@ -149,3 +150,27 @@ def stack_distances(blocks: list[int]) -> np.ndarray:
             del stack[at]
         stack.append(b)
     return out
+
+
+def graph_prefetch(trace: DataFrame, edges: DataFrame, window: int, first: int = 8) -> DataFrame:
+    """What prefetches along a graph would fetch at each access of a node, and how many of those are needed soon after.
+
+    trace: seq (dense) and node; edges: src, dst, pos. one_hop fetches all neighbours, two_hop those of the first so many
+    neighbours too, lookahead the neighbours of the node that is accessed next. Needed: accessed within so many accesses.
+    """
+    steps = trace.select("seq", F.col("node").alias("src"))
+    one = steps.join(edges.select("src", "dst"), "src").select("seq", "dst")
+    near = edges.where(F.col("pos") <= first).select("src", F.col("dst").alias("mid"))
+    two = steps.join(near, "src").join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("seq", "dst")
+    ahead = trace.select((F.col("seq") - 1).alias("seq"), F.col("node").alias("src")).join(steps.select("seq"), "seq", "left_semi").join(edges.select("src", "dst"), "src").select("seq", "dst")
+    kinds = [("one_hop", one), ("two_hop", one.unionByName(two)), ("lookahead", ahead)]
+    wanted = kinds[0][1].select(F.lit(kinds[0][0]).alias("kind"), "seq", "dst")
+    for name, rows in kinds[1:]:
+        wanted = wanted.unionByName(rows.select(F.lit(name).alias("kind"), "seq", "dst"))
+    wanted = wanted.distinct()
+    # A use within the window lies in this stretch of the trace or the next one: an equi-join by stretch.
+    stretch = F.explode(F.array(F.floor(F.col("seq") / window), F.floor(F.col("seq") / window) + 1)).alias("part")
+    uses = trace.select(F.col("node").alias("dst"), F.col("seq").alias("used"), F.floor(F.col("seq") / window).alias("part"))
+    hit = wanted.select("kind", "seq", "dst", stretch).join(uses, ["dst", "part"]).where((F.col("used") > F.col("seq")) & (F.col("used") <= F.col("seq") + window))
+    useful = hit.select("kind", "seq", "dst").distinct().groupBy("kind").agg(F.count("*").alias("useful"))
+    return wanted.groupBy("kind").agg(F.count("*").alias("fetched")).join(useful, "kind", "left").select("kind", "fetched", F.coalesce("useful", F.lit(0)).alias("useful"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecforge.operators.table import bucket_of, order_edges
+
 
 def recall(result: DataFrame, truth: DataFrame, queries: int, k: int) -> DataFrame:
     """Share of the k true neighbours of each query that the result has; a short result counts as missing."""
@@ -26,9 +28,7 @@ def percentiles(values: DataFrame, column: str, points: tuple[float, ...] = (0.5
     """
     counts = values.groupBy(F.col(column).alias("x")).agg(F.count("*").alias("c"))
     # Buckets of the value range keep the running sum from passing through one task.
-    edges = values.approxQuantile(column, [i / 32 for i in range(1, 32)], 0.01)
-    edge = F.array(*(F.lit(float(e)) for e in sorted(set(edges)))) if edges else F.array().cast("array<double>")
-    dealt = counts.withColumn("b", F.size(F.filter(edge, lambda e: e < F.col("x"))))
+    dealt = counts.withColumn("b", bucket_of("x", order_edges(values, column)))
     sums = dealt.groupBy("b").agg(F.sum("c").alias("n"))
     before = sums.select("b", (F.sum("n").over(Window.orderBy("b")) - F.col("n")).alias("before"))
     n = values.count()

@@ -1,7 +1,9 @@
 """Exact nearest-neighbour, radius and document search.
 
 The stated query set travels to the base vectors in blocks of checked size; each partition of the base keeps its own best
-k of every query, and only those meet in a shuffle. Ties go to the smaller id everywhere.
+k of every query, and only those meet in a shuffle. A query set beyond QUERY_BYTES, such as a base that is its own query
+set, never passes through the driver: both sides are dealt to blocks, and every pair of blocks is one group. Ties go to
+the smaller id everywhere.
 """
 
 from __future__ import annotations
@@ -13,8 +15,10 @@ from pyspark.sql import functions as F
 
 from vecforge.functions.distance import KERNELS
 
-#: Bytes of query vectors that one block broadcasts at most, and base rows that a kernel step holds.
-BLOCK_BYTES, STEP = 32_000_000, 2048
+#: Bytes of query vectors that one block broadcasts at most, and of a query set that is broadcast at all; base rows that a kernel step holds.
+BLOCK_BYTES, QUERY_BYTES, STEP = 32_000_000, 256_000_000, 2048
+#: Vectors of a block where both sides are dealt to blocks.
+BLOCK_ROWS = 8192
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -25,17 +29,20 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
-def query_blocks(queries: DataFrame) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Ids and vectors of a stated query set, in blocks of bounded size."""
-    sizes = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    blocks = -(-sizes[0] * sizes[1] * 8 // BLOCK_BYTES) or 1
-    out = []
+def query_size(queries: DataFrame) -> tuple[int, int]:
+    """Rows, and bytes of the vectors."""
+    n, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    return n, n * dim * 8
+
+
+def query_blocks(queries: DataFrame):
+    """Ids and vectors of a stated query set, block by block of bounded size."""
+    blocks = -(-query_size(queries)[1] // BLOCK_BYTES) or 1
     for k in range(blocks):
         part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == k)
         got = part.select("query_id", "v").toArrow().combine_chunks()
         if len(got):
-            out.append((got.column(0).to_numpy(), matrix(got.column(1).combine_chunks())))
-    return out
+            yield got.column(0).to_numpy(), matrix(got.column(1).combine_chunks())
 
 
 def spread(base: DataFrame) -> DataFrame:
@@ -47,36 +54,105 @@ def spread(base: DataFrame) -> DataFrame:
 CANDIDATES = "query_id long, id long, dist double"
 
 
-def scan(base: DataFrame, queries: DataFrame, metric: str, keep) -> DataFrame:
-    """Of each partition and query, the rows that keep(distances, ids) chooses (indices into both)."""
-    narrow, parts = spread(base.select("id", "v")), []
+def same_dimensions(q: np.ndarray, b: np.ndarray) -> None:
+    if b.shape[1] != q.shape[1]:
+        raise ValueError("queries and base have different dimensions")
+
+
+class Best:
+    """The k nearest rows of each query so far, as far as they have been seen."""
+
+    def __init__(self, k: int, queries: int) -> None:
+        self.keep = nearest(k)
+        self.held = [(np.empty(0, np.int64), np.empty(0))] * queries
+
+    def add(self, ids: np.ndarray, d: np.ndarray) -> None:
+        for i, (own, dist) in enumerate(self.held):
+            at = self.keep(d[i], ids)
+            own, dist = np.concatenate((own, ids[at])), np.concatenate((dist, d[i][at]))
+            best = self.keep(dist, own)
+            self.held[i] = own[best], dist[best]
+
+    def rows(self, query_ids: np.ndarray) -> list[np.ndarray]:
+        """query_id, id and dist of all of them."""
+        ids, dist = (np.concatenate([h[j] for h in self.held]) if self.held else np.empty(0) for j in (0, 1))
+        return [np.repeat(query_ids, [len(h[0]) for h in self.held]), ids.astype(np.int64), dist]
+
+
+def scan(base: DataFrame, queries: DataFrame, metric: str, step, schema: str = CANDIDATES, columns: tuple[str, ...] = ("id", "v"), end=None, state=None) -> DataFrame:
+    """Runs over each partition of the base with each block of queries, on columns of the base, the vectors last.
+
+    step(state, query ids, other columns, distances) gives arrays of rows or None; end(state, query ids) those left at a
+    partition's end; state(number of queries) is made anew for every partition.
+    """
+    narrow, parts = spread(base.select(*columns)), []
     kernel = KERNELS[metric]
+    names = [c.split()[0] for c in schema.split(", ")]
     for ids, vectors in query_blocks(queries):
         shared = base.sparkSession.sparkContext.broadcast((ids, vectors))
 
         def run(batches, shared=shared):
             q_ids, q = shared.value
+            own = state(len(q_ids)) if state else None
             for batch in batches:
-                ids_all = batch.column(0).to_numpy()
+                others = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(len(columns) - 1)]
                 for a in range(0, batch.num_rows, STEP):
-                    own = ids_all[a : a + STEP]
-                    b = matrix(batch.column(1).slice(a, STEP))
-                    if b.shape[1] != q.shape[1]:
-                        raise ValueError("queries and base have different dimensions")
-                    d = kernel(q, b)
-                    out = [(np.full(len(at), q_ids[i]), own[at], d[i][at]) for i in range(len(q)) for at in (keep(d[i], own),)]
-                    cols = [np.concatenate(c) for c in zip(*out, strict=True)]
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["query_id", "id", "dist"])
-
-        parts.append(narrow.mapInArrow(run, CANDIDATES))
+                    b = matrix(batch.column(len(columns) - 1).slice(a, STEP))
+                    same_dimensions(q, b)
+                    rows = step(own, q_ids, [x[a : a + STEP] for x in others], kernel(q, b))
+                    if rows is not None:
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in rows], names)
+            if end:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in end(own, q_ids)], names)
+
+        parts.append(narrow.mapInArrow(run, schema))
     if not parts:
-        return base.sparkSession.createDataFrame([], CANDIDATES)
+        return base.sparkSession.createDataFrame([], schema)
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return whole
 
 
+def chosen_rows(keep):
+    """A step that gives, of each query, the rows that keep(number of the query, distances, ids) chooses."""
+
+    def step(_, q_ids, others, d):
+        ids = others[0]
+        picks = [keep(i, d[i], ids) for i in range(len(q_ids))]
+        return [np.repeat(q_ids, [len(at) for at in picks]), np.concatenate([ids[at] for at in picks]), np.concatenate([d[i][at] for i, at in enumerate(picks)])]
+
+    return step
+
+
+def nearest_scan(base: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """The k nearest rows of each partition and query."""
+    return scan(base, queries, metric, lambda best, _, others, d: best.add(others[0], d), end=lambda best, q_ids: best.rows(q_ids), state=lambda n: Best(k, n))
+
+
+def nearest_by_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
+    """The k nearest rows of each pair of blocks and query: both sides dealt to blocks of bounded size, no row through the driver."""
+    cores, kernel = base.sparkSession.sparkContext.defaultParallelism, KERNELS[metric]
+    rows, asked = max(1, base.count()), max(1, queries.count())
+    least = max(1, int((2 * cores) ** 0.5))
+    across, down = max(least, -(-asked // BLOCK_ROWS)), max(least, -(-rows // BLOCK_ROWS))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(across)).alias("i"), every(down).alias("j"))
+    right = base.select("id", "v", every(across).alias("i"), F.pmod(F.xxhash64("id"), F.lit(down)).alias("j"))
+
+    def meet(one: pa.Table, two: pa.Table) -> pa.Table:
+        ids, own = two.column("id").to_numpy(), one.column("query_id").to_numpy()
+        best = Best(k, len(own))
+        if len(ids) and len(own):
+            q, b = (matrix(t.column("v").combine_chunks()) for t in (one, two))
+            same_dimensions(q, b)
+            for a in range(0, len(ids), STEP):
+                best.add(ids[a : a + STEP], kernel(q, b[a : a + STEP]))
+        return pa.table(dict(zip(("query_id", "id", "dist"), (pa.array(c) for c in best.rows(own)), strict=True)))
+
+    return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, CANDIDATES)
+
+
 def ranked(candidates: DataFrame, most: int) -> DataFrame:
     """The nearest rows of each query, numbered from 1."""
     w = Window.partitionBy("query_id").orderBy("dist", "id")
@@ -99,7 +175,9 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where:
 
     A filter comes before ranking: the result is the best k of the rows allowed. Fewer than k rows is an error if strict.
     """
-    out = ranked(scan(base if where is None else base.where(where), queries, metric, nearest(k)), k)
+    allowed = base if where is None else base.where(where)
+    by_blocks = query_size(queries)[1] > QUERY_BYTES
+    out = ranked((nearest_by_blocks if by_blocks else nearest_scan)(allowed, queries, k, metric), k)
     if strict:
         full = queries.select("query_id").join(out.groupBy("query_id").count(), "query_id", "left").where(F.coalesce("count", F.lit(0)) < k)
         if not full.isEmpty():
@@ -110,22 +188,51 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", where:
 def radius(base: DataFrame, queries: DataFrame, eps: float, metric: str = "l2", most: int | None = None) -> DataFrame:
     """All base rows within eps (squared for l2), nearest first, at most so many of each query."""
 
-    def keep(d: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    def keep(_: int, d: np.ndarray, ids: np.ndarray) -> np.ndarray:
         at = np.flatnonzero(d <= eps)
         return at if most is None or len(at) <= most else at[np.lexsort((ids[at], d[at]))[:most]]
 
-    return ranked(scan(base, queries, metric, keep), most if most is not None else 2**31 - 1)
+    return ranked(scan(base, queries, metric, chosen_rows(keep)), most if most is not None else 2**31 - 1)
 
 
 def documents(base: DataFrame, queries: DataFrame, num_docs: int, metric: str = "l2") -> DataFrame:
     """The longest nearest prefix of each query with at most num_docs distinct doc_ids: base has id, v and doc_id.
 
-    A document's place is its nearest vector; rows before the first vector of document num_docs + 1 are the result.
+    A document's place is its nearest vector; rows before the first vector of document num_docs + 1 are the result. Two
+    scans: the first gives each document's nearest vector in each partition, from which the query's cut follows, the second
+    the rows before the cut alone. Cuts are a row for each query of the stated set.
     """
-    doc = base.select("id", "doc_id")
-    every = scan(base, queries, metric, lambda d, ids: np.arange(len(d))).join(doc, "id")
-    first = every.groupBy("query_id", "doc_id").agg(F.min(F.struct("dist", "id")).alias("first"))
+
+    def nearest_of_each(held: list[dict], _, others, d):
+        ids, docs = others
+        for i, best in enumerate(held):
+            order = np.lexsort((ids, d[i]))
+            _, first = np.unique(docs[order], return_index=True)
+            for at in order[np.sort(first)[: num_docs + 1]].tolist():
+                own = (float(d[i][at]), int(ids[at]))
+                best[int(docs[at])] = min(own, best.get(int(docs[at]), own))
+            # No document beyond these can be one of the query's first num_docs + 1.
+            held[i] = dict(sorted(best.items(), key=lambda x: x[1])[: num_docs + 1])
+
+    def all_of_them(held: list[dict], q_ids):
+        rows = [(q, doc, *own) for q, best in zip(q_ids.tolist(), held, strict=True) for doc, own in best.items()]
+        return [np.array([r[j] for r in rows], kind) for j, kind in enumerate((np.int64, np.int64, np.float64, np.int64))]
+
+    typed = base.withColumn("doc_id", F.col("doc_id").cast("long"))
+    first = scan(typed, queries, metric, nearest_of_each, "query_id long, doc_id long, dist double, id long", ("id", "doc_id", "v"), all_of_them, lambda n: [{} for _ in range(n)])
+    first = first.groupBy("query_id", "doc_id").agg(F.min(F.struct("dist", "id")).alias("first"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy("first"))
-    cut = first.withColumn("place", place).where(F.col("place") == num_docs + 1).select("query_id", F.col("first").alias("cut"))
-    kept = every.join(cut, "query_id", "left").where(F.col("cut").isNull() | (F.struct("dist", "id") < F.col("cut")))
+    cuts = first.withColumn("place", place).where(F.col("place") == num_docs + 1).select("query_id", "first.dist", "first.id")
+    bounds = {r["query_id"]: (r["dist"], r["id"]) for r in cuts.collect()}
+
+    def before_the_cut(_, q_ids, others, d):
+        ids = others[0]
+        out = []
+        for i, q in enumerate(q_ids.tolist()):
+            dist, x = bounds.get(q, (np.inf, 0))
+            at = np.flatnonzero((d[i] < dist) | ((d[i] == dist) & (ids < x)))
+            out.append((np.full(len(at), q), ids[at], d[i][at]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+    kept = scan(base, queries, metric, before_the_cut).join(base.select("id", "doc_id"), "id")
     return kept.select("query_id", "id", "doc_id", "dist", F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id")).alias("rank"))

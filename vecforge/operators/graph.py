@@ -14,9 +14,16 @@ from vecforge.operators.table import numbered
 from vecforge.plans.lineage import cut
 
 
+#: Buckets of sources whose offsets are broadcast, at most.
+OFFSET_BUCKETS = 10_000
+
+
 def knn_graph(base: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """Edges from every vector to its k nearest others; the base is its own query set, in blocks."""
-    found = exact.knn(base, base.select(F.col("id").alias("query_id"), "v"), k + 1, metric).where("query_id <> id")
+    """Edges from every vector to its k nearest others: every pair of blocks of the base is one group, so that it compares all pairs.
+
+    For large bases, traverse.build_index gives an approximate graph in time that grows with the base alone.
+    """
+    found = exact.nearest_by_blocks(base, base.select(F.col("id").alias("query_id"), "v"), k + 1, metric).where("query_id <> id")
     pos = F.row_number().over(Window.partitionBy("query_id").orderBy("dist", "id"))
     return found.withColumn("pos", pos).where(F.col("pos") <= k).select(F.col("query_id").alias("src"), F.col("id").alias("dst"), "dist", "pos")
 
@@ -84,9 +91,14 @@ def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return degree.agg(F.count("*").alias("nodes"), F.sum("d").alias("edges"), F.min("d").alias("min_degree"), F.max("d").alias("max_degree"), F.round(F.avg("d"), 6).alias("avg_degree"))
 
 
+def uniform(text: F.Column) -> F.Column:
+    """A number under 2**24 from the first six digits of a text's md5, which SQL engines share."""
+    return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("long")
+
+
 def level(id_column: str = "id", m: int = 16, seed: int = 100) -> F.Column:
     """Random level of a node, floor(-ln(u) / ln(m)) with u from a hash of its id, the same wherever it is computed."""
-    u = (F.pmod(F.crc32(F.concat_ws(":", F.col(id_column), F.lit(seed))), F.lit(1 << 20)) + 1) / F.lit(float(1 << 20))
+    u = (uniform(F.concat_ws(":", F.col(id_column), F.lit(seed))) + 1) / F.lit(float(1 << 24))
     return F.floor(-F.ln(u) / F.lit(float(np.log(m)))).cast("int")
 
 
@@ -136,8 +148,10 @@ def adjacency(edges: DataFrame) -> DataFrame:
 def compressed(edges: DataFrame) -> DataFrame:
     """Per source: degree, bytes of its delta-coded list and where they start."""
     rows = adjacency(edges).select("src", F.size("nbrs").alias("degree"), codec.encoded_bytes(F.col("nbrs")).cast("long").alias("nbytes"))
-    # Offsets are prefix sums over buckets of sources, then within each.
-    placed = numbered(rows, "src", "row").withColumn("bucket", F.floor(F.col("row") / 4096))
+    # Offsets are prefix sums over buckets of sources, then within each; there are at most OFFSET_BUCKETS of them.
+    placed = cut(numbered(rows, "src", "row"))
+    width = max(4096, -(-placed.count() // OFFSET_BUCKETS))
+    placed = placed.withColumn("bucket", F.floor(F.col("row") / width))
     sums = placed.groupBy("bucket").agg(F.sum("nbytes").alias("n"))
     before = sums.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("before"))
     own = F.sum("nbytes").over(Window.partitionBy("bucket").orderBy("src")) - F.col("nbytes")

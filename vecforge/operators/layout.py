@@ -6,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecforge.operators.graph import uniform
+
 #: Sizes of headers in bytes: of a block of vectors, of one with neighbour lists, of a file; of a page; of a node's entry.
 VECTOR_HEADER, BLOCK_HEADER, FILE_HEADER, PAGE, NODE_ID, LIST_HEADER = 16, 24, 4096, 4096, 4, 2
 
@@ -64,7 +66,7 @@ def routes(block_lists: DataFrame) -> DataFrame:
 
 def random_route(nodes: DataFrame, blocks: int, seed: int = 42) -> DataFrame:
     """A pseudo-random block for each node, from a hash."""
-    return nodes.select("node_id", F.pmod(F.crc32(F.concat_ws(":", "node_id", F.lit(seed))), F.lit(blocks)).alias("block_id"))
+    return nodes.select("node_id", F.pmod(uniform(F.concat_ws(":", "node_id", F.lit(seed))), F.lit(blocks)).alias("block_id"))
 
 
 def pages(placed: DataFrame, block_bytes: int, dim: int) -> DataFrame:

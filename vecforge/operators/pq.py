@@ -16,16 +16,15 @@ from vecforge.operators import exact
 
 
 def auto_m(dim: int, wanted: int | None = None) -> int:
-    """Subspaces for a dimension: the wanted number if it divides it; 32 for large multiples of 32; 8 for multiples of 8; else the largest divisor up to a quarter."""
-    if wanted is not None:
-        if dim % wanted:
+    """Subspaces for a dimension: a wanted number that divides it; 32 for large multiples of 32; 8 for multiples of 8; else the largest divisor up to a quarter."""
+    divisors = [m for m in range(1, dim + 1) if not dim % m]
+    if wanted:
+        if wanted not in divisors:
             raise ValueError(f"{wanted} subspaces don't divide {dim} dimensions")
         return wanted
-    if dim % 32 == 0 and dim >= 128:
-        return 32
-    if dim % 8 == 0:
-        return 8
-    return next((m for m in range(max(1, dim // 4), 0, -1) if dim % m == 0), 1)
+    preferred = {32: dim >= 128, 8: True}
+    fits = [m for m, allowed in preferred.items() if allowed and m in divisors]
+    return fits[0] if fits else max(m for m in divisors if m == 1 or 4 * m <= dim)
 
 
 def subvectors(base: DataFrame, m: int, dim: int) -> DataFrame:
@@ -90,33 +89,71 @@ def distance_table(queries: DataFrame, codebook: DataFrame, m: int, dim: int) ->
     return sub.join(F.broadcast(codebook), "m").select("query_id", "m", "k", l2_sq(F.col("sub"), F.col("centroid"), dim // m).alias("d"))
 
 
+def tables(q: np.ndarray, book: np.ndarray) -> np.ndarray:
+    """Query x subspace x centroid: squared distances."""
+    width = book.shape[2]
+    return np.stack([np_l2(q[:, j * width : (j + 1) * width], c) for j, c in enumerate(book)], axis=1)
+
+
+def coarse(t: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Query x row: table distances, summed from the first subspace on."""
+    d = np.zeros((len(t), len(code)))
+    for j in range(code.shape[1]):
+        d += t[:, j, :][:, code[:, j]]
+    return d
+
+
 def adc_scan(codes: DataFrame, queries: DataFrame, codebook: DataFrame, most: int) -> DataFrame:
     """query_id, id, dist, rank: the most nearest codes of each query by table distances, each partition keeping its own best."""
     book, parts = loaded(codebook), []
-    keep = exact.nearest(most)
     for ids, q in exact.query_blocks(queries):
-        width = book.shape[2]
-        table = np.stack([np_l2(q[:, j * width : (j + 1) * width], c) for j, c in enumerate(book)], axis=1)
-        shared = codes.sparkSession.sparkContext.broadcast((ids, table))
+        shared = codes.sparkSession.sparkContext.broadcast((ids, tables(q, book)))
 
         def run(batches, shared=shared):
             q_ids, t = shared.value
+            best = exact.Best(most, len(q_ids))
             for batch in batches:
-                own = batch.column(0).to_numpy()
-                code = exact.matrix(batch.column(1)).astype(np.int64)
-                d = np.zeros((len(q_ids), len(own)))
-                for j in range(code.shape[1]):
-                    d += t[:, j, :][:, code[:, j]]
-                out = [(np.full(len(at), q_ids[i]), own[at], d[i][at]) for i in range(len(q_ids)) for at in (keep(d[i], own),)]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["query_id", "id", "dist"])
+                own, code = batch.column(0).to_numpy(), exact.matrix(batch.column(1)).astype(np.int64)
+                for a in range(0, len(own), exact.STEP):
+                    best.add(own[a : a + exact.STEP], coarse(t, code[a : a + exact.STEP]))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in best.rows(q_ids)], ["query_id", "id", "dist"])
 
         parts.append(exact.spread(codes.select("id", "code")).mapInArrow(run, exact.CANDIDATES))
+    if not parts:
+        return exact.ranked(codes.sparkSession.createDataFrame([], exact.CANDIDATES), most)
     whole = parts[0]
     for p in parts[1:]:
         whole = whole.unionByName(p)
     return exact.ranked(whole, most)
 
 
+def quality(base: DataFrame, codes: DataFrame, queries: DataFrame, codebook: DataFrame) -> DataFrame:
+    """Mean and greatest difference between table and exact distances of each query, over the whole base, summed within the scan."""
+    book, parts = loaded(codebook), []
+    both = exact.spread(base.select("id", "v").join(codes, "id").select("code", "v"))
+    for ids, q in exact.query_blocks(queries):
+        shared = codes.sparkSession.sparkContext.broadcast((ids, q, tables(q, book)))
+
+        def run(batches, shared=shared):
+            q_ids, q, t = shared.value
+            total, most, n = np.zeros(len(q_ids)), np.zeros(len(q_ids)), 0
+            for batch in batches:
+                code, v = exact.matrix(batch.column(0)).astype(np.int64), exact.matrix(batch.column(1))
+                for a in range(0, len(v), exact.STEP):
+                    gap = np.abs(coarse(t, code[a : a + exact.STEP]) - np_l2(q, v[a : a + exact.STEP]))
+                    total, most, n = total + gap.sum(axis=1), np.maximum(most, gap.max(axis=1)), n + gap.shape[1]
+            if n:
+                yield pa.RecordBatch.from_arrays([pa.array(q_ids), pa.array(total), pa.array(most), pa.array(np.full(len(q_ids), n))], ["query_id", "total", "most", "n"])
+
+        parts.append(both.mapInArrow(run, "query_id long, total double, most double, n long"))
+    if not parts:
+        return codes.sparkSession.createDataFrame([], "query_id long, mean_error double, max_error double")
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole.groupBy("query_id").agg(F.round(F.sum("total") / F.sum("n"), 6).alias("mean_error"), F.round(F.max("most"), 6).alias("max_error"))
+
+
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, hot: Column | None = None) -> DataFrame:
     """The k nearest candidates by exact distance; with hot, only those get it and others keep their coarse one."""
     exact_d = l2_sq(F.col("qv"), F.col("v"))

@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows of a bucket of an ordered column; buckets at least and at most (their counts are broadcast).
+BUCKET_ROWS, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 32, 4096
+
+
 class TableError(ValueError):
     """An operation whose requirements the table or its input doesn't meet."""
 
@@ -28,11 +32,38 @@ def new(rows: DataFrame, dim: int | None = None) -> DataFrame:
     return numbered(rows.select("id", "v", F.lit(False).alias("deleted")), "id", "slot")
 
 
+def order_edges(rows: DataFrame, by: str) -> list:
+    """Values of a column that cut rows into buckets of about BUCKET_ROWS, between LEAST_BUCKETS and MOST_BUCKETS of them."""
+
+    def edges(buckets: int) -> tuple[int, list]:
+        n, found = rows.agg(F.count(by), F.percentile_approx(by, [i / buckets for i in range(1, buckets)], 20_000)).first()
+        return n, sorted({*(found or [])})
+
+    n, found = edges(LEAST_BUCKETS)
+    more = min(MOST_BUCKETS, n // BUCKET_ROWS)
+    return edges(more)[1] if more > LEAST_BUCKETS else found
+
+
+def bucket_of(by: str, edges: list) -> F.Column:
+    """Number of a value's bucket: the edges below it, found by halves."""
+    if not edges:
+        return F.lit(0)
+
+    def among(lo: int, hi: int) -> F.Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(F.col(by) <= F.lit(edges[mid]), among(lo, mid)).otherwise(among(mid + 1, hi))
+
+    return among(0, len(edges)) if len(edges) <= 64 else F.size(F.filter(F.array(*map(F.lit, edges)), lambda e: e < F.col(by)))
+
+
 def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
-    """Dense numbers from 0 in the order of a unique column: counts by bucket, then ranks within buckets."""
-    edges = rows.approxQuantile(by, [i / 32 for i in range(1, 32)], 0.01)
-    edge = F.array(*(F.lit(float(e)) for e in sorted(set(edges)))) if edges else F.array().cast("array<double>")
-    dealt = rows.withColumn("_bucket", F.size(F.filter(edge, lambda e: e < F.col(by))))
+    """Dense numbers from 0 in the order of a unique column: counts by bucket, then ranks within buckets.
+
+    Buckets follow the number of rows; edges keep the column's own type, so that no order is lost beyond 2**53.
+    """
+    dealt = rows.withColumn("_bucket", bucket_of(by, order_edges(rows, by)))
     sizes = dealt.groupBy("_bucket").agg(F.count("*").alias("_n"))
     before = sizes.select("_bucket", (F.sum("_n").over(Window.orderBy("_bucket")) - F.col("_n")).alias("_before"))
     rank = F.row_number().over(Window.partitionBy("_bucket").orderBy(by)) - 1

@@ -114,16 +114,66 @@ class Layers:
                 self.links[lv][x] = [ranked[i] for i in select_neighbours(d[order], fast(self.metric, v, v), most)]
         return ids[0]
 
-    def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None, width: int = 1) -> list[tuple[float, int]]:
+    def search_many(self, queries: np.ndarray, k: int, ef: int, width: int = 1) -> list[list[tuple[float, int]]]:
+        """search() of many queries in lockstep: one array of distances serves a round of all of them."""
         if self.entry < 0:
-            return []
-        start = self.descend(q, self.entry, int(self.levels[self.entry]), 0)
-        found = [x for _, x in self.best_first(q, start, max(ef, k), 0, allowed, width)]
+            return [[] for _ in queries]
+        starts = [self.descend(q, self.entry, int(self.levels[self.entry]), 0) for q in queries]
+        first = self.pair_distances(queries, np.arange(len(queries)), np.array(starts, np.int64))
+        seen = np.zeros((len(queries), len(self.ids)), bool)
+        seen[np.arange(len(queries)), starts] = True
+        frontier = [[(d, x)] for d, x in zip(first, starts, strict=True)]
+        found = [[(-d, -x)] for d, x in zip(first, starts, strict=True)]
+        ef, active = max(ef, k), list(range(len(queries)))
+        while active:
+            who, what, bounds = [], [], {}
+            for i in active:
+                heap = frontier[i]
+                if not heap or heap[0][0] > -found[i][0][0]:
+                    continue
+                batch = [heapq.heappop(heap) for _ in range(min(width, len(heap)))]
+                bounds[i] = -found[i][0][0]
+                self.hops += len(batch)
+                for _, node in batch:
+                    near = [x for x in self.links[0].get(node, []) if not seen[i, x]]
+                    seen[i, near] = True
+                    who += [i] * len(near)
+                    what += near
+            distances = self.pair_distances(queries, np.array(who, np.int64), np.array(what, np.int64))
+            for i, x, dist in zip(who, what, distances, strict=True):
+                if len(found[i]) < ef or dist < bounds[i]:
+                    heapq.heappush(frontier[i], (dist, x))
+                    heapq.heappush(found[i], (-dist, -x))
+                    if len(found[i]) > ef:
+                        heapq.heappop(found[i])
+                    if width == 1:
+                        bounds[i] = -found[i][0][0]
+            active = list(bounds)
+        return [self.exact_best(q, [-x for _, x in f], k) for q, f in zip(queries, found, strict=True)]
+
+    def pair_distances(self, queries: np.ndarray, who: np.ndarray, what: np.ndarray) -> list[float]:
+        """Distance of query who[i] to node what[i], for the walk alone."""
+        self.computed += len(who)
+        a, b = queries[who], self.vectors[what]
+        if self.metric == "l2":
+            return ((a - b) ** 2).sum(axis=1).tolist()
+        if self.metric == "ip":
+            return (1 - (a * b).sum(axis=1)).tolist()
+        return [float(KERNELS[self.metric](x[None, :], y[None, :])[0, 0]) for x, y in zip(a, b, strict=True)]
+
+    def exact_best(self, q: np.ndarray, found: list[int], k: int) -> list[tuple[float, int]]:
+        """The k nearest of the nodes found, by distances computed anew, ties to the smaller node."""
         if not found:
             return []
         d = KERNELS[self.metric](q[None, :], self.vectors[found])[0]
         return sorted(zip(d.tolist(), found, strict=True))[:k]
 
+    def search(self, q: np.ndarray, k: int, ef: int, allowed: np.ndarray | None = None, width: int = 1) -> list[tuple[float, int]]:
+        if self.entry < 0:
+            return []
+        start = self.descend(q, self.entry, int(self.levels[self.entry]), 0)
+        return self.exact_best(q, [x for _, x in self.best_first(q, start, max(ef, k), 0, allowed, width)], k)
+
 
 def build(ids: np.ndarray, vectors: np.ndarray, levels: np.ndarray, options: BuildOptions) -> Layers:
     """Inserts the vectors one by one in ascending id."""
@@ -191,10 +241,15 @@ def search_index(index: DataFrame, queries: DataFrame, options: SearchOptions |
             g = restored(group, metric)
             ok = group.sort_by("id").column("ok").to_numpy(zero_copy_only=False).astype(bool)
             out: list[tuple] = []
-            for i in range(len(q_ids)):
-                g.hops = g.computed = 0
-                got = g.search(q[i], o.k, o.ef, None if ok.all() else ok, o.width)
-                out += [(int(q_ids[i]), int(g.ids[n]), d, g.hops, g.computed) for d, n in got]
+            if o.lockstep and ok.all():
+                # hops and computed are those of the whole batch.
+                many = g.search_many(q, o.k, o.ef, o.width)
+                out += [(int(q_ids[i]), int(g.ids[n]), d, g.hops, g.computed) for i, got in enumerate(many) for d, n in got]
+            else:
+                for i in range(len(q_ids)):
+                    g.hops = g.computed = 0
+                    got = g.search(q[i], o.k, o.ef, None if ok.all() else ok, o.width)
+                    out += [(int(q_ids[i]), int(g.ids[n]), d, g.hops, g.computed) for d, n in got]
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64()]
             return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["query_id", "id", "dist", "hops", "computed"])
 
@@ -215,6 +270,36 @@ def search_index(index: DataFrame, queries: DataFrame, options: SearchOptions |
     return out
 
 
+def entry_points(index: DataFrame, queries: DataFrame, metric: str = "l2") -> DataFrame:
+    """Where each query's greedy walk through the upper levels of each shard ends: query_id, shard, id, dist, hops.
+
+    Upper levels hold a node in m of those below, so that what travels is a small part of the index; a shard without upper
+    levels ends at its entry.
+    """
+    upper = index.where("level > 0 or entry").select("shard", "id", "level", "entry", "v", F.transform("links", lambda x, i: F.when(i > 0, x).otherwise(F.array().cast("array<long>"))).alias("links"))
+
+    def walker(shared):
+        def run(group: pa.Table) -> pa.Table:
+            q_ids, q = shared.value
+            g = restored(group, metric)
+            out = []
+            for i in range(len(q_ids)):
+                g.hops = 0
+                node = g.descend(q[i], g.entry, int(g.levels[g.entry]), 0)
+                dist = float(KERNELS[metric](q[i][None, :], g.vectors[node][None, :])[0, 0])
+                out.append((int(q_ids[i]), group.column("shard")[0].as_py(), int(g.ids[node]), dist, g.hops))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+            return pa.table([pa.array([r[j] for r in out], t) for j, t in enumerate(kinds)], ["query_id", "shard", "id", "dist", "hops"])
+
+        return run
+
+    schema, whole = "query_id long, shard long, id long, dist double, hops long", None
+    for block in exact.query_blocks(queries):
+        part = upper.groupBy("shard").applyInArrow(walker(index.sparkSession.sparkContext.broadcast(block)), schema)
+        whole = part if whole is None else whole.unionByName(part)
+    return whole if whole is not None else index.sparkSession.createDataFrame([], schema)
+
+
 def edges_of(index: DataFrame) -> DataFrame:
     """level, src, dst and pos of every link."""
     by_level = index.select("id", F.posexplode("links").alias("level", "near"))

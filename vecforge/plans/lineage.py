@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; a local one only for sessions that name none."""
+    """The folder in spark.checkpoint.dir; a local one only for local sessions that name none."""
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="vecforge-ckpt-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("a cluster must name its shared folder in spark.checkpoint.dir")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="vecforge-ckpt-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 

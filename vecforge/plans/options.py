@@ -37,6 +37,7 @@ class SearchOptions:
     beam_width: int = 1
     batch_io: int = 1
     strict: bool = False
+    lockstep: bool = False
 
     def __post_init__(self) -> None:
         if self.k < 1 or self.ef < 1:

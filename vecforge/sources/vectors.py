@@ -103,6 +103,37 @@ def truth(data: bytes, k: int | None = None) -> np.ndarray:
     return np.frombuffer(data, "<u8", offset=8).reshape(n, stored).astype(np.int64)
 
 
+def truth_parts(result: DataFrame, k: int, files: int | None = None) -> DataFrame:
+    """part, query_ids and content of a ground-truth file for each range of queries: result has query_id, rank and id, k rows of each query."""
+    n = files or result.sparkSession.sparkContext.defaultParallelism
+    lists = result.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "id"))), lambda s: s["id"]).alias("ids"))
+
+    def run(batches):
+        from pyspark import TaskContext
+
+        for number, batch in enumerate(batches):
+            if batch.num_rows:
+                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
+                if len(flat) != k * batch.num_rows:
+                    raise ValueError(f"a query doesn't have {k} neighbours")
+                part = (TaskContext.get().partitionId() << 32) + number
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([batch.column(0).to_pylist()], pa.list_(pa.int64())), pa.array([truth_bytes(flat.reshape(-1, k))], pa.binary())], ["part", "query_ids", "content"])
+
+    return lists.repartitionByRange(n, "query_id").sortWithinPartitions("query_id").mapInArrow(run, "part long, query_ids array<long>, content binary")
+
+
+def truth_rows(parts: DataFrame, k: int | None = None) -> DataFrame:
+    """query_id, at (from 0) and id of every neighbour of truth_parts()."""
+
+    def run(batches):
+        for batch in batches:
+            for query_ids, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                ids = truth(content.as_py(), k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(query_ids, np.int64), ids.shape[1])), pa.array(np.tile(np.arange(ids.shape[1], dtype=np.int32), len(ids))), pa.array(ids.ravel())], ["query_id", "at", "id"])
+
+    return parts.select("query_ids", "content").mapInArrow(run, "query_id long, at int, id long")
+
+
 def save_index(index: DataFrame, meta: dict, path: str) -> None:
     """Nodes as Parquet in ranges of ids, which lets readers skip row groups, and one row of JSON."""
     index.repartitionByRange("id").sortWithinPartitions("id").write.mode("overwrite").parquet(f"{path}/nodes")
