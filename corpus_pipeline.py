@@ -14,9 +14,13 @@ from vecforge.llm import decontaminate, language, neardup, packing, pii
 from vecforge.llm.common import shared_folder, table
 
 
+#: Least score of a document's language. An even share of four languages is 0.25; clean texts of a few words and more score 0.9 and over.
+LEAST_SCORE = 0.4
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of a language that the network tells; those without text or letters go."""
-    return language.identify(docs)
+    """Documents whose language the network tells; those that it can't tell, and those without text or letters, go."""
+    return language.identify(docs, min_score=LEAST_SCORE)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
