@@ -4,14 +4,18 @@ A byte goes if a string of LEAST bytes that covers it starts anywhere else too.
 
 1. Each window of LEAST bytes is owned by an anchor: of the GRAM-byte strings in it, the one of least hash (leftmost of
    equal ones). Equal windows have equal anchors, so only anchors that occur twice can own repeated windows. An
-   occurrence's windows and bytes form its context; equal contexts make a class, and classes of two and more members are
-   repeated wholly.
-2. Where an anchor has several classes, the windows of one context of each class are suffix-sorted: a mergesort whose
-   comparisons find common extensions by binary search over prefix polynomial hashes. Neighbours that agree in LEAST bytes
-   are verified byte by byte. Contexts are cut in two halves of windows that share bytes on one side of the anchor; only
-   classes that agree there are sorted together. Where very many agree, they are dealt to several sorts, each of which passes
-   one representative of each window on by its digest, to meet those of the others in a pre-aggregated shuffle.
-3. Repeated windows go back to the documents as byte ranges, which are united and cut out.
+   occurrence's windows and bytes form its context; occurrences with equal digests of it make a class. Occurrences of one
+   class at even steps of a document, as in periodic text, are one row.
+2. The windows of each class are suffix-sorted with those of the others that may be equal, two occurrences of a class if it
+   has so many: a mergesort whose comparisons find common extensions by binary search over prefix polynomial hashes.
+   Neighbours that agree in LEAST bytes are verified byte by byte; nothing counts as repeated without that. Contexts are cut
+   in two halves of windows that share bytes on one side of the anchor; only classes that agree there are sorted together.
+   Where very many agree, they are dealt to several sorts, each of which passes one representative of each window on by its
+   digest, to meet those of the others in a pre-aggregated shuffle.
+3. Repeated windows go back to all occurrences of their classes as byte ranges, which are united and cut out.
+
+A key with more than a thousandth of all rows meets its rows by a broadcast of such keys, of which there are a thousand at
+most; all others meet in a shuffle.
 
 Defined cases: null and empty texts have no bytes and nothing removed. Rows that repeat id and text count as different
 documents. Only id and text are read; other columns don't matter.
@@ -26,16 +30,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, chunks, cut, mixed, table, text_buffer
+from .common import Powers, chunks, cut, mixed, stored, table, text_buffer
 
 #: Bytes of a repeated string, and of the grams whose least hash is a window's anchor.
 LEAST, GRAM = 400, 200
 #: Classes of a half that one sort takes, and classes of a bucket of sorts (about a megabyte of contexts).
 SORTED_CLASSES, BUCKET_CLASSES = 512, 1500
+#: Keys that can each have more than one part in so many of a table's rows.
+HEAVY = 1000
+#: Rows of two numbers that are broadcast at most; more of them meet in a shuffle.
+BROADCAST_ROWS = 100_000
+#: Modulus and bases of the prefix hashes: two of 31 bits, as products of such numbers fit 64 bits.
+PRIME, BASES = np.uint64((1 << 31) - 1), (1_204_873_919, 1_731_060_037)
 
 
 def prefix_hashes(x: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix polynomial hashes of bytes, and the inverse powers that align them."""
+    """Prefix polynomial hashes of bytes modulo 2**64, to choose anchors, and the inverse powers that align them."""
     up, down = powers.to(len(x) + 1)
     out = np.empty(len(x) + 1, np.uint64)
     out[0] = 0
@@ -44,6 +54,51 @@ def prefix_hashes(x: np.ndarray, powers: Powers) -> tuple[np.ndarray, np.ndarray
     return out, down
 
 
+def folded(v: np.ndarray) -> np.ndarray:
+    """Numbers under 2**62 modulo PRIME."""
+    v = (v & PRIME) + (v >> np.uint64(31))
+    v = (v & PRIME) + (v >> np.uint64(31))
+    return np.where(v >= PRIME, v - PRIME, v)
+
+
+class Extensions:
+    """Prefix polynomial hashes of a byte array by two bases, and the common extensions that they tell."""
+
+    def __init__(self, x: np.ndarray) -> None:
+        self.both = []
+        for base in BASES:
+            up, n = np.ones(1, np.uint64), len(x) + 1
+            while len(up) < n:
+                up = np.concatenate((up, folded(up * np.uint64(pow(base, len(up), int(PRIME))))))
+            prefix = np.zeros(n, np.uint64)
+            np.cumsum(folded((x.astype(np.uint64) + np.uint64(1)) * up[: len(x)]), out=prefix[1:])
+            # Multiplied by the power that is missing to the array's end, equal strings agree wherever they start.
+            self.both.append((prefix, up[:n][::-1].copy()))
+
+    def same(self, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+        """Whether the strings of that size at a and b have equal hashes."""
+        out, at = np.zeros(len(a), bool), np.arange(len(a))
+        for prefix, rest in self.both:
+            p, q, n = a[at], b[at], size[at]
+            equal = folded(folded(prefix[p + n] - prefix[p]) * rest[p]) == folded(folded(prefix[q + n] - prefix[q]) * rest[q])
+            at = at[equal]
+        out[at] = True
+        return out
+
+    def common(self, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
+        """Length, up to most, of the common extension of each pair of suffixes: a binary search over prefix hashes."""
+        out = np.full(len(a), most, np.int64)
+        part = np.flatnonzero(~self.same(a, b, out))  # those that differ within most bytes
+        a, b = a[part], b[part]
+        lo, hi = np.zeros(len(a), np.int64), np.full(len(a), most - 1, np.int64)
+        for _ in range((most - 1).bit_length()):
+            mid = (lo + hi + 1) >> 1
+            same = self.same(a, b, mid)
+            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
+        out[part] = lo
+        return out
+
+
 def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
     """Least of each width consecutive keys, from running minima of blocks in both directions."""
     n = len(keys)
@@ -55,10 +110,13 @@ def sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(data: np.ndarray, offsets: np.ndarray, powers: Powers, least: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of the rows between the offsets: row, anchor hash, context hash, anchor's place, first and last window's distance before it."""
+    """Of the rows between the offsets: row, anchor hash, context digest, place, step, count, first and last window's distance before it.
+
+    count occurrences of equal hash and digest at places step apart are one.
+    """
     x = data[int(offsets[0]) : int(offsets[-1])]
     if len(x) < least:
-        return tuple(np.empty(0, k) for k in (np.int64, np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.empty(0, k) for k in (np.int64, np.uint64, np.int64, np.int64, np.int64, np.int64, np.int64, np.int64))
     prefix, down = prefix_hashes(x, powers)
     with np.errstate(over="ignore"):
         g = mixed((prefix[gram:] - prefix[:-gram]) * down[: len(prefix) - gram])
@@ -67,33 +125,31 @@ def anchors(data: np.ndarray, offsets: np.ndarray, powers: Powers, least: int, g
     edges = offsets - offsets[0]
     row = np.repeat(np.arange(len(edges) - 1), np.diff(edges))[: len(owner)]
     inside = np.arange(len(owner)) + least <= edges[row + 1]
-    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1]))))
+    first = np.flatnonzero(np.concatenate(([True], (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1]) | (row[1:] != row[:-1]))))
     last = np.append(first[1:], len(owner)) - 1
     first, last = first[inside[first]], last[inside[first]]
     at = (owner[first] & np.uint64(0xFFFFFFFF)).astype(np.int64)
-    with np.errstate(over="ignore"):
-        context = mixed((prefix[last + least] - prefix[first]) * down[first] + ((at - first) * 1000 + last - first).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return row[first], g[at], context, at - edges[row[first]], at - first, at - last
-
-
-def longest_common(prefix: np.ndarray, down: np.ndarray, a: np.ndarray, b: np.ndarray, most: int) -> np.ndarray:
-    """Length, up to most, of the common extension of each pair of suffixes: a binary search over prefix hashes."""
-    lo, hi = np.zeros(len(a), np.int64), np.full(len(a), most, np.int64)
-    with np.errstate(over="ignore"):
-        for _ in range(most.bit_length()):
-            mid = (lo + hi + 1) >> 1
-            same = (prefix[a + mid] - prefix[a]) * down[a] == (prefix[b + mid] - prefix[b]) * down[b]
-            lo, hi = np.where(same, mid, lo), np.where(same, hi, mid - 1)
-    return lo
-
-
-def suffix_sort(x: np.ndarray, start: np.ndarray, group: np.ndarray, most: int, powers: Powers) -> np.ndarray:
+    far, near, row, h = at - first, at - last, row[first], g[at]
+    raw = memoryview(x)
+    digest = [hashlib.blake2b(raw[a:b], digest_size=8, salt=d).digest() for a, b, d in zip(first.tolist(), (last + least).tolist(), map(bytes, np.stack((far, near), axis=1).astype("<u8")), strict=True)]
+    c = np.frombuffer(b"".join(digest), np.int64)
+    again = (row[1:] == row[:-1]) & (h[1:] == h[:-1]) & (c[1:] == c[:-1])
+    step = np.diff(at)
+    starts = ~again
+    starts[1:] |= again[:-1] & (step[1:] != step[:-1])
+    head = np.flatnonzero(np.concatenate(([True], starts))) if len(at) else np.empty(0, np.int64)
+    count = np.diff(np.append(head, len(at)))
+    step = np.where(count > 1, np.append(step, 0)[head], 0) if len(at) else step
+    return row[head], h[head], c[head], at[head] - edges[row[head]], step, count, far[head], near[head]
+
+
+def suffix_sort(x: np.ndarray, start: np.ndarray, group: np.ndarray, most: int) -> np.ndarray:
     """Order of the suffixes by group and then by their first most bytes: a bottom-up mergesort of all groups at once.
 
     Every suffix needs most bytes. In a merge, each suffix finds its rank in the neighbouring run by a binary search of
     hash comparisons; equal suffixes keep their order.
     """
-    prefix, down = prefix_hashes(x, powers)
+    extensions = Extensions(x)
     order = np.argsort(group, kind="stable")
     g = group[order]
     head = np.flatnonzero(np.concatenate(([True], g[1:] != g[:-1]))) if len(g) else np.empty(0, np.int64)
@@ -111,7 +167,7 @@ def suffix_sort(x: np.ndarray, start: np.ndarray, group: np.ndarray, most: int,
         while len(active):
             mid = (lo[active] + hi[active]) >> 1
             a, b = start[order[active]], start[order[begin[active] + mid]]
-            n = longest_common(prefix, down, a, b, most)
+            n = extensions.common(a, b, most)
             end = n >= most
             n = np.minimum(n, most - 1)
             # The sibling's suffix goes first if it is less, or equal and from the run before.
@@ -160,7 +216,12 @@ def compare_windows(least: int):
     """Function for a bucket of contexts: repeated windows as ranges d0..d1 of a class, and windows to be met by other sorts."""
 
     def run(contexts: pa.Table) -> pa.Table:
-        powers = Powers()
+        # A context that shares its half with no other has no equal window.
+        half = contexts.column("half").to_numpy()
+        _, at, times = np.unique(half, return_inverse=True, return_counts=True)
+        contexts = contexts.filter(pa.array((times[at] > 1) | contexts.column("hot").to_numpy(zero_copy_only=False).astype(bool)))
+        if not len(contexts):
+            return pa.table({n: pa.array([], pa.int32() if n in ("d0", "d1") else pa.int64()) for n in ("h", "c", "d0", "d1", "w1", "w2")})
         h, c, half = (np.array(contexts.column(k).to_numpy()) for k in ("h", "c", "half"))
         near, far = (contexts.column(k).to_numpy().astype(np.int64) for k in ("near", "far"))
         hot = contexts.column("hot").to_numpy(zero_copy_only=False).astype(bool)
@@ -173,7 +234,7 @@ def compare_windows(least: int):
         start = at[owner] + far[owner] - d
         # Equal windows have the same anchor at the same distance.
         group = np.unique(half, return_inverse=True)[1][owner] * (least + 1) + d
-        order = suffix_sort(x, start, group, least, powers)
+        order = suffix_sort(x, start, group, least)
         same = equal_neighbours(x, start, group, order, least)
         twice = same | np.append(same[1:], False)
         hit = order[twice]
@@ -189,12 +250,12 @@ def compare_windows(least: int):
     return run
 
 
-def keyed(documents: DataFrame) -> DataFrame:
-    """doc_id, text and a two-part key of the row that is never null."""
-    return documents.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("k1"), F.xxhash64("doc_id", "text", F.isnull("doc_id")).alias("k2"))
+def keyed(documents: DataFrame, *others: str) -> DataFrame:
+    """doc_id, text, a two-part key of the row that is never null, and other columns."""
+    return documents.select("doc_id", "text", *others, F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("k1"), F.xxhash64("doc_id", "text", F.isnull("doc_id")).alias("k2"))
 
 
-OCCURRENCES = "k1 long, k2 long, h long, c long, place long, far int, near int"
+OCCURRENCES = "k1 long, k2 long, h long, c long, place long, step int, count long, far int, near int"
 
 
 def occurrences(documents: DataFrame, least: int, gram: int) -> DataFrame:
@@ -204,12 +265,22 @@ def occurrences(documents: DataFrame, least: int, gram: int) -> DataFrame:
             data, offsets = text_buffer(batch.column(0))
             k1, k2 = batch.column(1).to_numpy(), batch.column(2).to_numpy()
             for a, b in chunks(offsets):
-                row, h, c, place, far, near = anchors(data, offsets[a : b + 1], powers, least, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k1[a + row], k2[a + row], h.view(np.int64), c.view(np.int64), place, far.astype(np.int32), near.astype(np.int32))], ["k1", "k2", "h", "c", "place", "far", "near"])
+                row, h, c, place, step, count, far, near = anchors(data, offsets[a : b + 1], powers, least, gram)
+                yield pa.RecordBatch.from_arrays([pa.array(v) for v in (k1[a + row], k2[a + row], h.view(np.int64), c, place, step.astype(np.int32), count, far.astype(np.int32), near.astype(np.int32))], ["k1", "k2", "h", "c", "place", "step", "count", "far", "near"])
 
     return keyed(documents).where(F.octet_length("text") >= least).select("text", "k1", "k2").mapInArrow(run, OCCURRENCES)
 
 
+def meet(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
+    """rows with the columns of keys, which has one row for each key and how many of the total rows it has (`rows`).
+
+    Keys of more than one row in HEAVY, at most HEAVY of them, are broadcast; so no task gets the rows of a heavy key.
+    """
+    heavy = F.broadcast(keys.where(F.col("rows") > total / HEAVY).drop("rows"))
+    light = rows.join(heavy.select(*on), on, "left_anti").join(keys.where(F.col("rows") <= total / HEAVY).drop("rows"), on)
+    return rows.join(heavy, on).unionByName(light)
+
+
 def packed(documents: DataFrame) -> DataFrame:
     """Row key and compressed text, to halve what a shuffle of texts moves."""
 
@@ -223,18 +294,18 @@ def packed(documents: DataFrame) -> DataFrame:
     return keyed(documents).mapInArrow(run, "doc_id long, k1 long, k2 long, n_bytes long, z binary")
 
 
-CONTEXTS = "h long, c long, half long, far int, near int, context binary"
+CONTEXTS = "h long, c long, rep int, half long, far int, near int, context binary"
 
 
-def contexts(documents: DataFrame, classes: DataFrame, least: int, gram: int) -> DataFrame:
-    """The bytes of one context of each class, in two halves.
+def contexts(documents: DataFrame, chosen: DataFrame, least: int, gram: int) -> DataFrame:
+    """The bytes of the contexts chosen (h, c, rep: which of its class, and where), in two halves.
 
     Windows that start at most (least - gram) / 2 before the anchor all hold the same bytes behind its gram, the others
     the same bytes before it. half is a hash of those bytes: equal windows agree in it, so that only classes that do
     need to be compared.
     """
-    fields = ("h", "c", "place", "far", "near")
-    wanted = classes.groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields)).alias("own"))
+    fields = ("h", "c", "rep", "place", "far", "near")
+    wanted = chosen.groupBy("k1", "k2").agg(F.collect_list(F.struct(*fields)).alias("own"))
     mid = (least - gram) // 2
 
     def halves(text: bytes, o: dict) -> list[tuple]:
@@ -243,47 +314,52 @@ def contexts(documents: DataFrame, classes: DataFrame, least: int, gram: int) ->
             if near <= far:
                 shared = text[at - mid - 1 : at] if side else text[at + gram : at + least - mid]
                 digest = hashlib.blake2b(shared, digest_size=8, key=o["h"].to_bytes(8, "little", signed=True), person=bytes([side])).digest()
-                out.append((o["h"], o["c"], int.from_bytes(digest, "little", signed=True), far, near, text[at - far : at - near + least]))
+                out.append((o["h"], o["c"], o["rep"], int.from_bytes(digest, "little", signed=True), far, near, text[at - far : at - near + least]))
         return out
 
     def run(batches):
         codec = pa.Codec("zstd")
-        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
+        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary())
         for batch in batches:
             for size, z, own in zip(*(batch.column(k).to_pylist() for k in (0, 1, 2)), strict=True):
                 text = codec.decompress(z, size, asbytes=True)
                 rows = [x for o in own for x in halves(text, o)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["h", "c", "half", "far", "near", "context"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], ["h", "c", "rep", "half", "far", "near", "context"])
 
     # Rows that repeat id and text share a key; one of them will do.
-    joined = packed(documents).join(wanted, ["k1", "k2"]).select("n_bytes", "z", "own")
-    return joined.mapInArrow(run, CONTEXTS).dropDuplicates(["h", "c", "half"])
+    joined = packed(documents).join(wanted, ["k1", "k2"]).dropDuplicates(["k1", "k2"]).select("n_bytes", "z", "own")
+    return joined.mapInArrow(run, CONTEXTS)
 
 
 def repeated_ranges(documents: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
     """Row key and byte ranges, maybe overlapping, whose windows occur elsewhere too."""
-    occ = occurrences(documents, least, gram)
-    twice = occ.groupBy("h").agg(F.count("*").alias("n"), F.min("c").alias("c0"), F.max("c").alias("c1")).where("n > 1").select("h", (F.col("c0") != F.col("c1")).alias("mixed"))
-    occ = cut(occ.join(twice, "h"))
-    several = occ.where("mixed")
-    classes = several.groupBy("h", "c").agg(F.count("*").alias("n"), F.min(F.struct("k1", "k2", "place", "far", "near")).alias("one"))
-    classes = cut(classes.select("h", "c", "n", "one.*"))
-    halves = cut(contexts(documents, classes, least, gram))
-    shared = halves.groupBy("half").agg(F.count("*").alias("n")).where("n > 1").select("half", F.ceil(F.col("n") / SORTED_CLASSES).alias("salts"))
-    salted = halves.join(shared, "half").select("*", F.pmod(F.xxhash64("c"), F.col("salts")).alias("salt"), (F.col("salts") > 1).alias("hot"))
-    buckets = -(-classes.count() // BUCKET_CLASSES) or 1
+    occ = stored(occurrences(documents, least, gram))
+    total = occ.count()
+    twice = stored(occ.groupBy("h").agg(F.sum("count").alias("n"), F.count("*").alias("rows")).where("n > 1").select("h", "rows"))
+    occ = stored(meet(occ, twice, ["h"], total))
+    place = F.struct("k1", "k2", "place", "far", "near")
+    final = F.struct("k1", "k2", (F.col("place") + F.col("step") * (F.col("count") - 1)).alias("place"), "far", "near")
+    classes = stored(occ.groupBy("h", "c").agg(F.sum("count").alias("n"), F.count("*").alias("rows"), F.min(place).alias("one"), F.max(final).alias("two")))
+    both = F.when(F.col("one") == F.col("two"), F.array("one")).otherwise(F.array("one", "two"))
+    halves = stored(contexts(documents, classes.select("h", "c", F.posexplode(both).alias("rep", "x")).select("h", "c", "rep", "x.*"), least, gram))
+    # Contexts are shuffled once, to their bucket. Halves that are too many for one sort are dealt to several.
+    large = stored(halves.groupBy("half").agg(F.count("*").alias("n")).where(F.col("n") > SORTED_CLASSES).select("half", F.ceil(F.col("n") / SORTED_CLASSES).alias("salts")))
+    large = F.broadcast(large) if large.count() <= BROADCAST_ROWS else large
+    salted = halves.join(large, "half", "left").select("*", F.pmod(F.xxhash64("c"), F.coalesce("salts", F.lit(1))).alias("salt"), F.col("salts").isNotNull().alias("hot")).drop("salts")
+    buckets = -(-halves.count() // (2 * BUCKET_CLASSES)) or 1
     bucket = F.pmod(F.xxhash64("half", "salt"), F.lit(buckets)).alias("bucket")
     found = cut(salted.withColumn("bucket", bucket).groupBy("bucket").applyInArrow(compare_windows(least), COMPARED))
     open_ = found.where("w1 is not null")
     met = open_.groupBy("w1", "w2").agg(F.min("c").alias("c0"), F.max("c").alias("c1")).where("c0 <> c1").select("w1", "w2")
     windows = found.where("w1 is null").select("h", "c", "d0", "d1").unionByName(open_.join(met, ["w1", "w2"]).select("h", "c", "d0", "d1"))
-    windows = windows.groupBy("h", "c").agg(F.collect_list(F.struct("d0", "d1")).alias("ranges"))
-    whole = F.array(F.struct(F.col("near").alias("d0"), F.col("far").alias("d1")))
-    status = classes.select("h", "c", "n").join(windows, ["h", "c"], "left").where("n > 1 or ranges is not null")
-    partly = several.join(status, ["h", "c"]).select("k1", "k2", "place", F.when(F.col("n") > 1, whole).otherwise(F.col("ranges")).alias("ranges"))
-    all_ = occ.where("not mixed").select("k1", "k2", "place", whole.alias("ranges")).unionByName(partly)
-    spans = F.transform("ranges", lambda r: F.struct((F.col("place") - r["d1"]).alias("a"), (F.col("place") - r["d0"] + least).alias("b")))
-    return all_.groupBy("k1", "k2").agg(F.flatten(F.collect_list(spans)).alias("spans"))
+    windows = windows.groupBy("h", "c").agg(F.collect_set(F.struct("d0", "d1")).alias("ranges"))
+    # A class whose only place is there twice consists of rows that repeat id and text: it is repeated as a whole.
+    whole = F.when((F.col("n") > 1) & (F.col("one") == F.col("two")), F.array(F.struct(F.col("one.near").alias("d0"), F.col("one.far").alias("d1"))))
+    status = classes.join(windows, ["h", "c"], "left").select("h", "c", "rows", F.coalesce(whole, "ranges").alias("ranges")).where("ranges is not null")
+    partly = meet(occ, stored(status), ["h", "c"], total)
+    # Anchors that follow each other are less than a window apart, so that a row's windows unite.
+    spans = F.transform("ranges", lambda r: F.struct((F.col("place") - r["d1"]).alias("a"), (F.col("place") + F.col("step") * (F.col("count") - 1) - r["d0"] + least).alias("b")))
+    return partly.groupBy("k1", "k2").agg(F.flatten(F.collect_set(spans)).alias("spans"))
 
 
 def removal(documents: DataFrame, least: int = LEAST, gram: int = GRAM, keep_text: bool = False) -> DataFrame:
