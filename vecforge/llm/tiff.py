@@ -5,8 +5,9 @@ and tiles, undoes the horizontal predictor, crops tiles to the image and gives o
 same kinds of pages.
 
 Defined cases: a null or empty media value has no pages. A chain that comes back to a directory ends there. A value that
-is no TIFF, or damaged, gives one row with page -1 and the error's text, so that one file can't stop a job. Of several
-samples to a pixel all are kept, in the file's order. Columns of the input that share a name with the page's are left
+is no TIFF, or damaged, gives one row with page -1 and the error's text, so that one file can't stop a job: sizes are checked
+before anything is allotted or unpacked, against PIXEL_BYTES a page. Of several samples to a pixel all are kept, pixel by
+pixel, also where the file has them in planes. Columns of the input that share a name with the page's are left
 out of the result, except for the key.
 """
 
@@ -25,12 +26,15 @@ from pyspark.sql import functions as F
 from .common import table
 
 #: Fixed values of the format: tags, compressions, sizes of field types.
-WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325
+WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC, OFFSETS, SAMPLES, ROWS, COUNTS, PREDICTOR, TILE_WIDTH, TILE_HEIGHT, TILE_OFFSETS, TILE_COUNTS, PLANAR = 256, 257, 258, 259, 262, 273, 277, 278, 279, 317, 322, 323, 324, 325, 284
 PLAIN, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 TYPE_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 6: 1, 8: 2, 9: 4}
 TYPE_CODES = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i"}
 CLEAR, STOP = 256, 257
 
+#: Bytes of a page's pixels at most; directories of a file and values of a tag at most.
+PIXEL_BYTES, MOST_PAGES, MOST_VALUES = 1 << 29, 1 << 16, 1 << 24
+
 #: The query's layout: pixels of a row, rows of a page, of a strip and of a tile.
 LINE, PAGE_ROWS, STRIP_ROWS, TILE = 64, 4096, 64, 32
 
@@ -74,8 +78,10 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out) + (acc << rest).to_bytes((held + rest) >> 3, "big")
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, size: int | None = None) -> bytes:
+    """All that the codes say, or as much as gives size bytes."""
     out: list[bytes] = []
+    made = 0
     words: list[bytes] = [bytes([i]) for i in range(256)] + [b"", b""]
     width, last, at, acc, held = 9, b"", 0, 0, 0
     while True:
@@ -101,6 +107,9 @@ def lzw_decode(data: bytes) -> bytes:
         else:
             raise ValueError("an LZW code that isn't defined")
         out.append(word)
+        made += len(word)
+        if size is not None and made >= size:
+            break
         if last:
             words.append(last + word[:1])
             if len(words) + 1 >= 1 << width and width < 12:
@@ -158,9 +167,9 @@ def unpack(data: bytes, compression: int, size: int) -> bytes:
     if compression == PLAIN:
         out = data
     elif compression == LZW:
-        out = lzw_decode(data)
+        out = lzw_decode(data, size)
     elif compression in (DEFLATE, OLD_DEFLATE):
-        out = zlib.decompress(data)
+        out = zlib.decompressobj().decompress(data, size)
     elif compression == PACKBITS:
         out = packbits_decode(data, size)
     else:
@@ -190,11 +199,15 @@ def directories(data: bytes):
     at, seen = struct.unpack(order + "I", data[4:8])[0], set()
     while at and at not in seen:
         seen.add(at)
+        if len(seen) > MOST_PAGES:
+            raise ValueError("too many directories")
         n = struct.unpack_from(order + "H", data, at)[0]
         tags = {}
         for k in range(n):
             tag, kind, count = struct.unpack_from(order + "HHI", data, at + 2 + 12 * k)
-            if kind in TYPE_BYTES:
+            if kind in TYPE_BYTES and count:
+                if count > MOST_VALUES:
+                    raise ValueError("a tag with too many values")
                 place = at + 10 + 12 * k
                 if TYPE_BYTES[kind] * count > 4:
                     place = struct.unpack_from(order + "I", data, place)[0]
@@ -216,9 +229,11 @@ def read_pages(data: bytes):
     for order, tags in directories(data):
         one = lambda tag, default=None, tags=tags: tags[tag][0] if tag in tags else default
         width, height, samples, compression, predictor = one(WIDTH), one(HEIGHT), one(SAMPLES, 1), one(COMPRESSION, PLAIN), one(PREDICTOR, 1)
-        bits = one(BITS, 1)
+        bits, planes = one(BITS, 1), one(SAMPLES, 1) if one(PLANAR, 1) == 2 else 1
         if bits not in (8, 16) or any(b != bits for b in tags.get(BITS, ())):
             raise ValueError(f"{bits} bits to a sample aren't supported")
+        if predictor not in (1, 2):
+            raise ValueError(f"predictor {predictor} isn't supported")
         kind = np.dtype("u1") if bits == 8 else np.dtype(order + "u2")
         tiled = TILE_OFFSETS in tags
         if tiled:
@@ -226,18 +241,23 @@ def read_pages(data: bytes):
         else:
             w, h = width, min(one(ROWS, height), height)
             offsets, counts = tags[OFFSETS], tags[COUNTS]
-        across = -(-width // w)
+        if min(width, height, samples, w, h) < 1:
+            raise ValueError("a page or tile without pixels")
+        if max(width * height, w * h) * samples * kind.itemsize > PIXEL_BYTES:
+            raise ValueError(f"a page of more than {PIXEL_BYTES} bytes")
+        across, down, inner = -(-width // w), -(-height // h), samples // planes
+        if len(offsets) != len(counts) or len(offsets) != across * down * planes:
+            raise ValueError("strips or tiles don't cover the page once")
         image = np.zeros((height, width, samples), kind)
         for k, (o, n) in enumerate(zip(offsets, counts, strict=True)):
+            plane, k = divmod(k, across * down)
             y, x = k // across * h, k % across * w
             rows = h if tiled else min(h, height - y)
-            raw = unpack(data[o : o + n], compression, rows * w * samples * kind.itemsize)
-            block = np.frombuffer(raw, kind).reshape(rows, w, samples)
+            raw = unpack(data[o : o + n], compression, rows * w * inner * kind.itemsize)
+            block = np.frombuffer(raw, kind).reshape(rows, w, inner)
             if predictor == 2:
                 block = difference(block, True)
-            elif predictor != 1:
-                raise ValueError(f"predictor {predictor} isn't supported")
-            image[y : y + rows, x : x + w] = block[: height - y, : width - x]
+            image[y : y + rows, x : x + w, plane * inner : (plane + 1) * inner] = block[: height - y, : width - x]
         yield Page(width, height, bits, samples, compression, predictor, tiled, image.tobytes())
 
 
@@ -288,7 +308,7 @@ def pages(media: DataFrame, key: str, column: str = "media") -> DataFrame:
                 try:
                     if data.is_valid and len(raw := data.as_py()):
                         rows = [{"page": i} | {n: getattr(p, n) for n in names} for i, p in enumerate(read_pages(raw))]
-                except (ValueError, KeyError, IndexError, TypeError, struct.error, zlib.error) as e:
+                except (ValueError, KeyError, IndexError, TypeError, ArithmeticError, MemoryError, struct.error, zlib.error) as e:
                     rows = [{"page": -1, "error": f"{type(e).__name__}: {e}"}]
                 if rows:
                     made = pa.RecordBatch.from_pylist(rows, schema)
