@@ -8,11 +8,13 @@ bitmaps of its sources and duplicate clusters: it takes no two pieces of one clu
 source (one bitmap for each time a source may occur).
 
 Lengths are those of the token files: the tokenizer's ids of the whole text and the end id. pack() without a count takes
-a quarter of the bytes, an estimate that no registered query uses.
+a quarter of the bytes, an estimate that no registered query uses. sequences() puts the token files' ids into the bins.
+
+A cluster is whatever the caller says, such as the group of near copies; without a word, equal texts are one.
 
 Defined cases: null and empty texts have no pieces and no rows, not even for their end id. A null source is a source of
-its own; a null or empty cluster can't occur, as clusters are hashes of the text. Rows that repeat id and text are pieces
-of one cluster and so lie in different bins.
+its own; a null cluster is that of the text alone. Rows that repeat id and text are pieces of one cluster and so lie in
+different bins; they are dealt to shards by their place in the input, as nothing else tells them apart.
 """
 
 from __future__ import annotations
@@ -24,7 +26,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from . import neardup
+from .common import stored, table
+from .substrings import keyed
 from .token_files import encoder
 
 #: Tokens of a bin, documents of a shard on average, pieces of one source in a bin.
@@ -86,12 +90,24 @@ def best_fit(size: list[int], source: list[int], cluster: list[int], capacity: i
     return bins, place
 
 
-def pack(documents: DataFrame, tokens: Column | None = None, capacity: int = CAPACITY, limit: int = SOURCE_LIMIT, shard: int = SHARD) -> DataFrame:
+def pack(documents: DataFrame, tokens: Column | None = None, capacity: int = CAPACITY, limit: int = SOURCE_LIMIT, shard: int = SHARD, cluster: Column | None = None) -> DataFrame:
     """A row per piece: doc_id, piece, first_token, n_tokens, bin (shard and number), bin_offset."""
-    rows = documents.select("doc_id", F.coalesce("source", F.lit("\0")).alias("source"), F.xxhash64("text").alias("cluster"), F.coalesce(tokens if tokens is not None else estimated_tokens(), F.lit(0)).cast("long").alias("n")).where("n > 0")
+    n = F.coalesce(tokens if tokens is not None else estimated_tokens(), F.lit(0)).cast("long")
     # Texts alone are counted, so that none is tokenized for the number of shards.
-    shards = -(-documents.where(F.octet_length("text") > 0).count() // shard) or 1
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", F.lit(29)), F.lit(shards)))
+    some = documents.where(F.octet_length("text") > 0).count()
+    return packed_rows(documents.select("doc_id", "source", named(cluster).alias("cluster"), n.alias("n")), some, capacity, limit, shard)
+
+
+def named(cluster: Column | None) -> Column:
+    """Number of a cluster; that of the text where the caller names none."""
+    return F.xxhash64("text") if cluster is None else F.coalesce(F.when(cluster.isNotNull(), F.xxhash64(F.lit("cluster"), cluster)), F.xxhash64("text"))
+
+
+def packed_rows(rows: DataFrame, some: int, capacity: int = CAPACITY, limit: int = SOURCE_LIMIT, shard: int = SHARD) -> DataFrame:
+    """pack() of rows doc_id, source, cluster (a number) and n, about some of which have an n over 0."""
+    shards = -(-some // shard) or 1
+    rows = rows.select("doc_id", F.coalesce("source", F.lit("\0")).alias("source"), "cluster", "n", F.monotonically_increasing_id().alias("place")).where("n > 0")
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "place", F.lit(29)), F.lit(shards))).drop("place")
 
     def run(group: pa.Table) -> pa.Table:
         group = group.sort_by([("n", "descending"), ("doc_id", "ascending"), ("cluster", "ascending")])
@@ -112,5 +128,21 @@ def pack(documents: DataFrame, tokens: Column | None = None, capacity: int = CAP
     return packed.select("doc_id", "piece", "first_token", "n_tokens", F.concat_ws("-", "shard", "number").alias("bin"), "bin_offset")
 
 
+def sequences(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
+    """bin, doc_ids of its pieces in order, and ids: the bin's token ids end to end, as the token files give them (32 bits each).
+
+    tokens: doc_id and ids of each document, once each, null and empty texts left out. A bin is one row, no longer than its capacity.
+    """
+    part = F.expr("substring(ids, int(4 * first_token + 1), int(4 * n_tokens))")
+    each = pieces.join(tokens.select("doc_id", "ids"), "doc_id").select("bin", F.struct("bin_offset", "doc_id", part.alias("part")).alias("x"))
+    inside = each.groupBy("bin").agg(F.array_sort(F.collect_list("x")).alias("x"))
+    return inside.select("bin", F.transform("x", lambda p: p["doc_id"]).alias("doc_ids"), F.aggregate("x", F.lit(b""), lambda all_, p: F.concat(all_, p["part"])).alias("ids"))
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), library_tokens())
+    """Clusters are op1's groups of near copies, of five words and 0.8; only counts and keys are shuffled to meet them."""
+    docs = table(spark, sf_dir, "documents")
+    counted = stored(keyed(docs.select("doc_id", "text", "source"), "source").select("k1", "k2", "doc_id", "source", F.xxhash64("text").alias("own"), library_tokens().alias("n")).where("n > 0"))
+    groups = neardup.groups(docs).where("component_id is not null").select("k1", "k2", "component_id").dropDuplicates(["k1", "k2"])
+    cluster = F.coalesce(F.when(F.col("component_id").isNotNull(), F.xxhash64(F.lit("cluster"), "component_id")), F.col("own"))
+    return packed_rows(counted.join(groups, ["k1", "k2"], "left").select("doc_id", "source", cluster.alias("cluster"), "n"), counted.count())

@@ -30,14 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Powers, chunks, cut, mixed, stored, table, text_buffer
+from .common import Powers, chunks, cut, meet, mixed, stored, table, text_buffer
 
 #: Bytes of a repeated string, and of the grams whose least hash is a window's anchor.
 LEAST, GRAM = 400, 200
 #: Classes of a half that one sort takes, and classes of a bucket of sorts (about a megabyte of contexts).
 SORTED_CLASSES, BUCKET_CLASSES = 512, 1500
-#: Keys that can each have more than one part in so many of a table's rows.
-HEAVY = 1000
 #: Rows of two numbers that are broadcast at most; more of them meet in a shuffle.
 BROADCAST_ROWS = 100_000
 #: Modulus and bases of the prefix hashes: two of 31 bits, as products of such numbers fit 64 bits.
@@ -271,16 +269,6 @@ def occurrences(documents: DataFrame, least: int, gram: int) -> DataFrame:
     return keyed(documents).where(F.octet_length("text") >= least).select("text", "k1", "k2").mapInArrow(run, OCCURRENCES)
 
 
-def meet(rows: DataFrame, keys: DataFrame, on: list[str], total: int) -> DataFrame:
-    """rows with the columns of keys, which has one row for each key and how many of the total rows it has (`rows`).
-
-    Keys of more than one row in HEAVY, at most HEAVY of them, are broadcast; so no task gets the rows of a heavy key.
-    """
-    heavy = F.broadcast(keys.where(F.col("rows") > total / HEAVY).drop("rows"))
-    light = rows.join(heavy.select(*on), on, "left_anti").join(keys.where(F.col("rows") <= total / HEAVY).drop("rows"), on)
-    return rows.join(heavy, on).unionByName(light)
-
-
 def packed(documents: DataFrame) -> DataFrame:
     """Row key and compressed text, to halve what a shuffle of texts moves."""
 
