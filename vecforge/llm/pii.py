@@ -2,15 +2,21 @@
 
 Generators propose spans: strict patterns for email, ip, card and phone, and wide ones (spelt-out addresses, IPv6, other
 separators, numbers without +) that may overlap them. Boosted trees over format and context features score the wide
-ones; a threshold calibrated on rows that no tree saw selects those that are redacted too. Strict matches that pass
-their checks always stay. Trees are fitted on the driver from a bounded sample of candidates whose weak label is
-whether they are strictly valid, and become CASE expressions, so that no Python runs on the executors.
+ones; a threshold for each kind, calibrated on rows that no tree saw, selects those that are redacted too. Strict matches
+that pass their checks always stay.
 
-Places are counted in code points, from the lengths of the pieces between the matches. All is linear in a document's
-length and matches: candidates are exploded and numbered by a window over their own row.
+Trees are fitted on the driver from examples whose truth is known: strict matches of a bounded sample of documents (and
+made-up ones beside them) rewritten into the forms that only the wide patterns find, in the contexts that they had, and
+look-alikes that are none (dates, years, versions, times, order numbers, round numbers) between other words of the sample.
+They become CASE expressions, so that no Python runs on the executors.
+
+Places are counted in code points, from the lengths of the pieces between the matches. Candidates are exploded and
+numbered by windows over their own row, whose frames all grow from one end: a document costs what its length and the
+sorting of its matches do.
 
 Defined cases: a null text is empty and has no spans. Rows that repeat an id each give a row. Columns other than doc_id
-and text are not read by find(); redact() keeps them all.
+and text are not read by find(); redact() keeps them all. A document sample without strict matches leaves the made-up
+ones to learn from.
 """
 
 from __future__ import annotations
@@ -32,19 +38,22 @@ STRICT = {
 #: Patterns of high recall.
 WIDE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}) ?[A-Za-z0-9-]{1,63}){1,6}",
-    "ip": r"(?<![0-9A-Za-z:])(?:[0-9A-Fa-f]{1,4}:){3,7}(?::?[0-9A-Fa-f]{1,4})(?![0-9A-Za-z:])",
+    "ip": r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![0-9A-Za-z:])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]?[0-9]){11,18}(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])\(?[0-9]{2,4}\)?[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9])",
 }
-#: A character without which a pattern can't match.
-NEEDS = {("email", True): "@", ("phone", True): "+", ("email", False): "at", ("ip", False): ":"}
+#: What a text must contain for a pattern to match, and patterns that it must match first.
+NEEDS = {("email", True): "@", ("phone", True): "+"}
+HINTS = {("email", False): r"[(\[{]at[)\]}]", ("ip", False): r"[0-9A-Fa-f]?:[0-9A-Fa-f]{0,4}:[0-9A-Fa-f]"}
 #: Words before a span that speak for its kind.
 CUES = {"email": r"(?i)(e-?mail|contact|write)", "ip": r"(?i)\b(ip|host|addr\w*|server)\b", "card": r"(?i)(card|visa|master|credit|amex)", "phone": r"(?i)(tel|phone|call|mobile|fax)"}
+#: Words before a span that speak for something else.
+OTHER = r"(?i)(order|invoice|item|part|ref\w*|isbn|issn|version|build|pages?|no|nr|id|serial|code|case|years?|size|score|at|from|total)[\s.:#]*$"
 #: Code points of context kept on either side.
 LEFT, RIGHT = 24, 4
-#: Bounds of the training sample in documents and in candidates; trees, their learning rate, and candidate thresholds of a feature.
-SAMPLE_DOCUMENTS, SAMPLE_ROWS, ROUNDS, RATE, THRESHOLDS = 25_000, 4000, 30, 0.3, 12
-#: Precision that the threshold must reach on the calibration rows.
+#: Bounds of the training sample in documents and in examples of a kind and truth; trees, their learning rate, and candidate thresholds of a feature.
+SAMPLE_DOCUMENTS, EXAMPLES, ROUNDS, RATE, THRESHOLDS = 25_000, 500, 40, 0.3, 12
+#: Precision that a kind's threshold must reach on the calibration rows.
 PRECISION = 0.99
 
 
@@ -61,8 +70,8 @@ def proposals(text: Column, kind: str, strict: bool) -> Column:
         found,
         lambda p, m: F.struct(element["kind"].alias("kind"), element["strict"].alias("strict"), p["gap"].alias("gap"), p["before"].alias("before"), p["start"].alias("start"), m.alias("match")),
     )
-    need = NEEDS.get((kind, strict))
-    return F.when(F.contains(text, F.lit(need)) if need else F.rlike(text, F.lit(r"[0-9]{2}|[0-9][ ._/()-]")), both)
+    need, hint = NEEDS.get((kind, strict)), HINTS.get((kind, strict), r"[0-9]{2}|[0-9][ ._/()-]")
+    return F.when(F.contains(text, F.lit(need)) if need else F.rlike(text, F.lit(hint)), both)
 
 
 def digits(c: Column) -> Column:
@@ -121,21 +130,35 @@ def judged(found: DataFrame) -> DataFrame:
         F.rlike(m, F.lit(r"^(\+|00)")),
         F.rlike(m, F.lit(r"@|[(\[{]at[)\]}]")),
         F.rlike(m, F.lit(r"^[12][0-9]{3}[-./ ][0-9]{2}[-./ ][0-9]{2}")),
+        F.rlike("before", F.lit(OTHER)),
+        F.rlike(m, F.lit(r"^\(?(19|20)[0-9]{2}\)?[^0-9]")),
+        F.char_length(F.regexp_replace(m, r"[^0-9]*[0-9]*?(0{2,})(?![0-9])|.", "$1")),
+        F.rlike(m, F.lit(r"[(\[{]dot[)\]}]")),
+        F.rlike(m, F.lit(r"[.] ")),
+        F.char_length(F.regexp_replace(m, r"[^:]", "")),
+        F.contains(m, F.lit("::")),
+        F.rlike(m, F.lit(r"[A-Fa-f]")),
+        F.char_length(F.regexp_extract(m, r"([A-Za-z]*)$", 1)),
+        F.startswith(m, F.lit("(")),
+        F.size(F.array_distinct(F.split(F.regexp_replace(m, r"[A-Za-z0-9()]", ""), ""))),
+        F.char_length(F.regexp_extract(m, r"([0-9]*)$", 1)),
+        F.char_length(F.regexp_extract(m, r"^\(?([0-9]*)", 1)),
         *(kind == k for k in KINDS),
     ]
     cols = {f"f{i}": F.coalesce(f.cast("double"), F.lit(0.0)) for i, f in enumerate(features)}
     return found.withColumns({"valid": F.coalesce(F.col("strict") & passes, F.lit(False)), **cols})
 
 
-FEATURES = 19
+FEATURES = 32
 
 
 class Trees:
-    """Gradient boosting with trees of two levels, a Platt calibration and a threshold."""
+    """Gradient boosting with trees of two levels, a Platt calibration, and a threshold for each kind."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray) -> None:
+    def __init__(self, x: np.ndarray, y: np.ndarray, kind: np.ndarray) -> None:
         self.trees: list[tuple] = []
-        self.start, self.slope, self.shift, self.threshold = -4.0, 1.0, 0.0, 2.0
+        self.start, self.slope, self.shift = -4.0, 1.0, 0.0
+        self.thresholds = dict.fromkeys(KINDS, 2.0)
         fit = np.arange(len(y)) % 3 != 0
         if len(y) < 30 or len({*y[fit].tolist()}) < 2:
             return  # nothing to learn: no wide candidate is selected
@@ -171,10 +194,18 @@ class Trees:
             self.slope -= 0.05 * float(((p - yc) * zc).mean())
             self.shift -= 0.5 * float((p - yc).mean())
         p = 1 / (1 + np.exp(-(self.slope * zc + self.shift)))
-        order = np.argsort(-p, kind="stable")
-        precise = np.cumsum(yc[order]) / np.arange(1, len(order) + 1) >= PRECISION
-        if precise.any():
-            self.threshold = max(0.5, float(p[order[np.flatnonzero(precise)[-1]]]))
+        for k, name in enumerate(KINDS):
+            own = kind[~fit] == k
+            order = np.argsort(-p[own], kind="stable")
+            sure = p[own][order]
+            # A threshold lies between different scores, so that it never parts equal ones.
+            ends = np.flatnonzero(np.append(sure[1:] != sure[:-1], True)) if len(sure) else order
+            precise = (np.cumsum(yc[own][order]) / np.arange(1, len(order) + 1))[ends] >= PRECISION
+            if precise.any():
+                # Halfway to the next lower score, at which the precision would be too low.
+                last = int(np.flatnonzero(precise)[-1])
+                under = sure[ends[last + 1]] if last + 1 < len(ends) else sure[ends[last]]
+                self.thresholds[name] = float(sure[ends[last]] + under) / 2
 
     def probability(self) -> Column:
         z = F.lit(self.start)
@@ -183,15 +214,132 @@ class Trees:
             z = z + F.when(F.col(f"f{f}") > t, side(b, b0, b1)).otherwise(side(a, a0, a1))
         return 1 / (1 + F.exp(-(z * self.slope + self.shift)))
 
-
-def fit(documents: DataFrame, rows: int = SAMPLE_ROWS) -> Trees:
-    """Trees from the strict candidates of a bounded sample, chosen by hashes; their label is their validity."""
-    names = [f"f{i}" for i in range(FEATURES)]
+    def threshold(self) -> Column:
+        out = F.lit(2.0)
+        for k, t in self.thresholds.items():
+            out = F.when(F.col("kind") == k, F.lit(t)).otherwise(out)
+        return out
+
+
+def with_check_digit(number: str) -> str:
+    total = sum(v - 9 * (v > 9) for v in (int(c) * (2 - i % 2) for i, c in enumerate(reversed(number))))
+    return number + str(-total % 10)
+
+
+def grouped(number: str, sizes: tuple[int, ...], sign: str) -> str:
+    out, at = [], 0
+    for n in sizes:
+        out.append(number[at : at + n])
+        at += n
+    return sign.join([*out, number[at:]] if at < len(number) else out)
+
+
+class Examples:
+    """Texts with a span of known truth, of forms that the strict patterns leave out."""
+
+    def __init__(self, seed: int, strict: list[tuple[str, str, str]] = (), words: list[str] = ()) -> None:
+        import random
+
+        self.r = random.Random(seed)
+        self.strict = {k: [(m, b) for kind, m, b in strict if kind == k] for k in KINDS}
+        self.words = list(words) or ["and then", "the list shows", "more of it,", "below it says"]
+
+    def number(self, n: int) -> str:
+        return str(self.r.randint(1, 9)) + "".join(self.r.choice("0123456789") for _ in range(n - 1))
+
+    def word(self) -> str:
+        return "".join(self.r.choice("abdeiklmnorstu") for _ in range(self.r.randint(2, 9)))
+
+    def neutral(self) -> str:
+        return self.r.choice(self.words) + " "
+
+    def found(self, kind: str, made: str) -> tuple[str, str]:
+        """A strict match and the text before it: half of the time one of the sample's, otherwise a made-up one after a cue."""
+        cues = {"email": ("mail: ", "contact ", "write to "), "ip": ("host ", "addr: ", "server "), "card": ("card ", "Visa ", "credit card: "), "phone": ("tel. ", "phone: ", "call ")}
+        if self.strict[kind] and self.r.random() < 0.5:
+            return self.r.choice(self.strict[kind])
+        return made, self.r.choice((*cues[kind], self.neutral()))
+
+    def true(self, kind: str) -> tuple[str, str]:
+        """Text before, and a span that is personal data."""
+        r = self.r
+        if kind == "email":
+            match, before = self.found(kind, f"{self.word()}{r.choice(('', '.', '_'))}{self.word()}@{self.word()}.{r.choice(('com', 'org', 'net', 'de', 'co.uk'))}")
+            local, _, domain = match.partition("@")
+            a, b = r.choice(("()", "[]", "{}"))
+            at, dot = r.choice((f"{a}at{b}", f" {a}at{b} ")), r.choice((f" {a}dot{b} ", f"{a}dot{b}", "."))
+            return before, local + at + domain.replace(".", dot)
+        if kind == "ip":
+            before = self.found(kind, "")[1]
+            groups = [f"{r.randrange(r.choice((2, 16, 4096, 65536, 65536))):x}" for _ in range(8)]
+            if r.random() < 0.5:
+                return before, ":".join(groups)
+            return before, ":".join(groups[: r.randint(2, 4)]) + "::" + ":".join(groups[: r.randint(1, 2)])
+        if kind == "card":
+            match, before = self.found(kind, with_check_digit(r.choice("3456") + self.number(14)))
+            number = "".join(c for c in match if c.isdigit())
+            return before, grouped(number, (4, 4, 4), r.choice((".", "/", "_")))
+        match, before = self.found(kind, "+" + self.number(11))
+        number = "".join(c for c in match if c.isdigit())[-10:].rjust(10, "2")
+        a, b, c = number[:3], number[3:6], number[6:]
+        return before, r.choice((f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}"))
+
+    def false(self, kind: str) -> tuple[str, str]:
+        """Text before, and a span that looks like personal data but is none."""
+        r = self.r
+        before = r.choice((self.neutral(), r.choice(("order ", "item ", "version ", "pages ", "ref. ", "ISBN ", "from ", "serial no. ", "years ", "total "))))
+        year = str(r.randint(1900, 2039))
+        if kind == "email":
+            return self.neutral(), f"{self.word()} {r.choice(('(at)', '[at]'))} {self.word()}. {self.word().title()}"
+        if kind == "ip":
+            n = r.choice((3, 3, 4, 6))
+            clock = [f"{r.randrange(60):02d}" for _ in range(n)]
+            mac = [f"{r.randrange(256):02x}" for _ in range(6)]
+            return before, ":".join(r.choice((clock, mac, [str(r.randrange(1, 20)) for _ in range(n)])))
+        if kind == "card":
+            stamp = f"{year}{r.randint(1, 12):02d}{r.randint(1, 28):02d}{self.number(r.choice((6, 8)))}"
+            number = r.choice((self.number(r.randint(12, 19)), stamp, "978" + self.number(10)))
+            return before, r.choice((number, grouped(number, (4, 4), r.choice("-./_ ")), grouped(number, (3, 1, 2, 6), "-"), grouped(number, (4, 2, 2, 2, 2), r.choice("-._/"))))
+        sign = r.choice("- .")
+        round_ = sign.join(str(r.randint(1, 9) * 10 ** r.choice((2, 3))) for _ in range(3))
+        series = sign.join((year, self.number(4), self.number(r.choice((3, 4)))))
+        years = sign.join(str(r.randint(1900, 2039)) for _ in range(3))
+        return before, r.choice((round_, series, years, sign.join((self.number(2), self.number(4), self.number(4)))))
+
+    def rows(self, each: int) -> list[tuple[int, str, int, int, str, bool]]:
+        """doc_id, text, start and end of the span, kind, truth."""
+        out = []
+        for kind in KINDS:
+            for i in range(2 * each):
+                before, span = (self.true if i % 2 else self.false)(kind)
+                out.append((len(out), f"{before}{span}{self.r.choice((' ', '. ', ', ', ''))}", len(before), len(before) + len(span), kind, bool(i % 2)))
+        self.r.shuffle(out)
+        return [(i, *row[1:]) for i, row in enumerate(out)]
+
+
+def examples(documents: DataFrame, seed: int = 1, each: int = EXAMPLES) -> DataFrame:
+    """Wide candidates of examples made from a bounded sample of documents, with features and truth."""
+    spark = documents.sparkSession
     some = thinned(documents.select("doc_id", "text"), F.xxhash64("text", F.lit(31), "doc_id"), SAMPLE_DOCUMENTS)
-    sample = judged(candidates(some).where("kind is not null and strict"))
-    got = sample.select(F.xxhash64("match", "first", "k2").alias("h"), F.col("valid").cast("double").alias("y"), *names).orderBy("h", "y", *names).limit(rows).collect()
-    values = np.array([list(r)[1:] for r in got], float).reshape(-1, FEATURES + 1)
-    return Trees(values[:, 1:], values[:, 0])
+    valid = judged(candidates(some).where("kind is not null and strict")).where("valid").select("kind", "match", "before", F.xxhash64("match", "first", "k2").alias("h"))
+    strict = [tuple(r)[:3] for r in valid.orderBy("h", "kind", "match", "before").limit(4 * each).collect()]
+    words = [r[0] for r in some.where("text <> ''").select(F.substring("text", 1, LEFT).alias("w"), F.xxhash64("text").alias("h")).orderBy("h", "w").limit(each).collect()]
+    words = [w for w in words if not any(c.isdigit() for c in w)]
+    made = spark.createDataFrame(Examples(seed, strict, words).rows(each), "doc_id long, text string, start long, stop long, truth_kind string, truth boolean")
+    wide = judged(candidates(made)).where("kind is not null and not strict")
+    truth = made.select("doc_id", "start", "stop", "truth_kind", "truth")
+    both = wide.join(F.broadcast(truth), "doc_id").where(F.col("kind") == F.col("truth_kind"))
+    # A candidate of the kind in question is personal data if the span that it meets is.
+    return both.withColumn("y", (F.col("truth") & (F.col("first") < F.col("stop")) & (F.col("last") > F.col("start"))).cast("double"))
+
+
+def fit(documents: DataFrame, seed: int = 1, each: int = EXAMPLES) -> Trees:
+    """Trees from wide candidates of known truth."""
+    names = [f"f{i}" for i in range(FEATURES)]
+    got = examples(documents, seed, each).select("doc_id", "first", "kind", "y", *names).collect()
+    got = sorted(map(tuple, got))
+    values = np.array([r[3:] for r in got], float).reshape(-1, FEATURES + 1)
+    return Trees(values[:, 1:], values[:, 0], np.array([KINDS.index(r[2]) for r in got], np.int64))
 
 
 def find(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
@@ -201,12 +349,13 @@ def find(documents: DataFrame, trees: Trees | None = None) -> DataFrame:
     for i, k in enumerate(KINDS):
         rank = F.when(F.col("kind") == k, i).otherwise(rank)
     scored = judged(candidates(documents)).withColumn("p", F.when(F.col("strict"), F.lit(0.0)).otherwise(model.probability()))
-    chosen = scored.select("doc_id", "k2", "row", "kind", "first", "last", "valid", (~F.col("strict") & (F.col("p") >= model.threshold)).alias("added"), rank.alias("rank"))
+    chosen = scored.select("doc_id", "k2", "row", "kind", "first", "last", "valid", (~F.col("strict") & (F.col("p") >= model.threshold())).alias("added"), rank.alias("rank"))
     # An added span must not touch a strict one, nor an added one that starts before it.
     w = Window.partitionBy("row").orderBy("first", "rank", F.desc("valid"), "last")
     strict_end, strict_start = F.when(F.col("valid"), F.col("last")), F.when(F.col("valid"), F.col("first"))
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    ahead = w.rowsBetween(1, Window.unboundedFollowing)
+    # What follows, as a running minimum from the other end.
+    ahead = Window.partitionBy("row").orderBy(F.desc("first"), F.desc("rank"), "valid", F.desc("last")).rowsBetween(Window.unboundedPreceding, -1)
     counted = F.when(F.col("valid") | F.col("added"), F.col("last"))
     checked = chosen.withColumns({"_s": F.coalesce(F.max(strict_end).over(before), F.lit(0)), "_n": F.min(strict_start).over(ahead), "_a": F.coalesce(F.max(counted).over(before), F.lit(0))})
     free = F.col("added") & (F.col("first") >= F.col("_s")) & (F.col("first") >= F.col("_a")) & (F.col("_n").isNull() | (F.col("_n") >= F.col("last")))
