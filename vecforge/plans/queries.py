@@ -751,6 +751,15 @@ def k14(spark, d):
     return knn_out(pq.two_stage(b, codes, asked(b), book, K, SearchOptions(ef=40, refine_ef=40).coarse))
 
 
+@register("k14_two_stage_trained", ALL_FOUND)
+def k14_trained(spark, d):
+    """Two stages over a codebook that k-means has trained; with as many candidates as the second stage takes by default."""
+    b = base(spark, d)
+    book = cut(pq.lloyd(b, cut(pq.seed_codebook(b, M, DIM, 64)), M, DIM, 2))
+    codes = cut(pq.encode(b, book, M, DIM))
+    return hits(pq.two_stage(b, codes, asked(b), book, K, SearchOptions(ef=40).coarse), exact.knn(b, asked(b), K), asked(b))
+
+
 @register("k15_hybrid_distance", SQL_TWO.replace("@", "case when id % 2 = 0 then dd.dist else coarse.dist end"))
 def k15(spark, d):
     b, book, codes = coded(spark, d)
