@@ -27,12 +27,14 @@ from .common import ALNUM, chunks, crc_mod, table, text_buffer, thinned, words
 BITS, FACTORS = 20, 6
 #: Bound of the training sample in labelled rows.
 SAMPLE_ROWS = 12_000
-#: Least standard deviations by which a term's rate of toxic rows, or a pair's, must differ, and least rows that have it.
+#: Least standard deviations by which a term's rate of toxic rows must differ, and least rows that have it.
 LEAST_Z, LEAST_ROWS = 5.0, 4
+#: The same for pairs, of which there are a thousand times as many.
+PAIR_Z, PAIR_ROWS = 10.0, 20
 #: Buckets whose pairs are counted.
 PAIR_TERMS = 1500
 #: Steps of training, their rate, the decay of weights and factors (on the mean loss of a row), spread of the first factors.
-STEPS, RATE, DECAY, SPREAD = 600, 0.05, 1e-6, 0.1
+STEPS, RATE, DECAY, SPREAD = 250, 0.1, 1e-6, 0.1
 
 
 @dataclass
@@ -82,7 +84,7 @@ def of_pairs(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, held: np.nd
     expected = 1 / (1 + np.exp(-np.clip(own[:, None] + own[None, :] - logit(np.array(prior)), -8, 8)))
     gap = (hits - both * expected) / np.sqrt(np.maximum(both * expected * (1 - expected), 0.25))
     np.fill_diagonal(gap, 0)
-    return among[((both >= LEAST_ROWS) & (np.abs(gap) >= LEAST_Z)).any(axis=1)]
+    return among[((both >= PAIR_ROWS) & (np.abs(gap) >= PAIR_Z)).any(axis=1)]
 
 
 def train(row: np.ndarray, bucket: np.ndarray, toxic: np.ndarray, seed: int = 3) -> Machine:
