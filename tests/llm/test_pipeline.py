@@ -4,7 +4,7 @@ import corpus_pipeline
 import pytest
 from pyspark.sql import functions as F
 
-from vecforge.llm import decontaminate, neardup
+from vecforge.llm import decontaminate, language, neardup
 
 
 @pytest.fixture(scope="module")
@@ -26,8 +26,21 @@ def test_columns(stages):
     assert [df.columns == want for df in stages.values()] == [True, True, True, True, True, False]
 
 
-def test_language_keeps_all_with_letters(stages):
-    assert stages["language_id"].count() == stages["input"].where(F.rlike("text", F.lit(r"\p{L}"))).count()
+def test_language_keeps_what_the_network_tells(stages):
+    """The rows with letters and a score of LEAST_SCORE at least; nearly all of those with letters."""
+    docs = stages["input"]
+    scored = language.predict(docs, language.fit(docs)).where("lang_pred <> 'und'")
+    letters = docs.where(F.rlike("text", F.lit(r"\p{L}"))).count()
+    assert scored.count() == letters
+    kept = stages["language_id"].count()
+    assert kept == scored.where(F.col("score") >= corpus_pipeline.LEAST_SCORE).count() and kept >= 0.99 * letters
+
+
+def test_language_rejects_what_the_network_cannot_tell(stages):
+    docs = stages["input"]
+    scores = sorted(r["score"] for r in language.predict(docs, language.fit(docs)).where("lang_pred <> 'und'").collect())
+    middle = scores[len(scores) // 2]
+    assert language.identify(docs, min_score=middle).count() == sum(x >= middle for x in scores) < len(scores)
 
 
 def test_one_document_of_each_group(stages):
@@ -50,5 +63,10 @@ def test_no_addresses_left(stages):
 
 
 def test_all_is_packed(stages):
-    need = stages["personal_data"].agg(F.sum(F.ceil(F.octet_length("text") / 4))).first()[0]
+    """By the tokenizer's own counts, an end id for each text with one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    need = sum(len(t.encode(r["text"], add_special_tokens=False).ids) + 1 for r in stages["personal_data"].collect() if r["text"])
     assert stages["best_fit_packing"].agg(F.sum("n_tokens")).first()[0] == need
