@@ -102,14 +102,20 @@ class Counts:
         pair[:1], pair[1:] = 0, ranks[:-1].astype(U) * U(n)
         pair += ranks
         pair[begins] = U(n) * U(n)  # no pair, at a block's first id
-        pair = np.sort(pair << U(31) | np.arange(len(pair), dtype=U))
-        place, key = (pair & U((1 << 31) - 1)).astype(np.int64), pair >> U(31)
-        new = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
-        count, key = np.diff(np.append(new, len(key))), key[new].astype(np.int64)
+        pair <<= U(31)
+        pair |= np.arange(len(pair), dtype=U)
+        pair.sort()
+        place = pair.astype(np.uint32) & np.uint32((1 << 31) - 1)
+        pair >>= U(31)
+        new = np.flatnonzero(np.concatenate(([True], pair[1:] != pair[:-1]))) if len(pair) else np.empty(0, np.int64)
+        count, key = np.diff(np.append(new, len(pair))), pair[new].astype(np.int64)
+        del pair
         kept = (count >= SEEN) & (key < n * n)
-        number = np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32)
+        number = np.repeat(np.where(kept, np.cumsum(kept) - 1, -1).astype(np.int32), count)
         entry = np.empty(len(ranks), np.int32)
-        entry[place] = np.repeat(number, count)
+        for a in range(0, len(place), 1 << 20):  # step by step, as an index is widened to 64 bits
+            entry[place[a : a + (1 << 20)]] = number[a : a + (1 << 20)]
+        del number, place
         kept = np.flatnonzero(kept)
         row, who = key[kept] // max(n, 1), key[kept] % max(n, 1)
         seen, kinds = np.bincount(row, count[kept], n), np.bincount(row, minlength=n)
@@ -118,7 +124,8 @@ class Counts:
         base_bits = max(12, int(n).bit_length() + 3)
         base = shares(held[names].astype(float), np.zeros(n, np.int64), np.array([base_bits]))
         counts = Counts(names, base, row, who, shares(count[kept].astype(float), row, bits), bits)
-        entry = np.where(entry >= 0, entry, counts.base_at + ranks).astype(np.int32)
+        missing = entry < 0
+        entry[missing] = counts.base_at + ranks[missing]
         cuts = begins[1:]
         return counts, np.split(ranks, cuts) if blocks else [], np.split(entry, cuts) if blocks else []
 
