@@ -34,6 +34,16 @@ def test_same_rows(spark, sf, name):
     assert rows(got) == rows(want)
 
 
+@pytest.mark.parametrize("name", ["m1_insert"])
+def test_ids_beyond_100000(spark, tmp_path, name):
+    """Fresh ids, which start at 100,000, are there already in larger tables."""
+    spark.range(100_101).selectExpr("id vec_id", "array(cast(id % 97 as float)) embedding", "cast(id % 10 as int) label").coalesce(1).write.parquet(f"{tmp_path}/made")
+    os.rename(next((tmp_path / "made").glob("part-*.parquet")), tmp_path / "embeddings.parquet")
+    c = duckdb.connect()
+    c.sql(f"create view embeddings as select * from '{tmp_path}/embeddings.parquet'")
+    assert rows(registry.queries()[name](spark, str(tmp_path)).toPandas()) == rows(c.sql(SQL[name]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(SQL)))
 def test_some_rows(spark, sf, name):
     assert registry.queries()[name](spark, sf).count() > 0

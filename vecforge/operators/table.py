@@ -70,9 +70,10 @@ def numbered(rows: DataFrame, by: str, name: str) -> DataFrame:
     return dealt.withColumn("_rank", rank).join(F.broadcast(before), "_bucket").withColumn(name, F.col("_rank") + F.col("_before")).drop("_bucket", "_rank", "_before")
 
 
-def insert(state: DataFrame, rows: DataFrame, capacity: int | None = None) -> DataFrame:
-    """Adds new ids after the last slot; a known id or a full table is an error."""
-    require(rows.join(state, "id", "left_semi").select("id"), "an id is there already")
+def insert(state: DataFrame, rows: DataFrame, capacity: int | None = None, repeats: bool = False) -> DataFrame:
+    """Adds new ids after the last slot; a full table is an error, and so is a known id, unless repeats lets it have a row more."""
+    if not repeats:
+        require(rows.join(state, "id", "left_semi").select("id"), "an id is there already")
     used = state.agg(F.coalesce(F.max("slot") + 1, F.lit(0)).alias("n")).first()[0]
     if capacity is not None and used + rows.count() > capacity:
         raise TableError("more rows than the table's capacity")
@@ -104,16 +105,20 @@ def unmark_deleted(state: DataFrame, ids: DataFrame) -> DataFrame:
     return state.join(hit, "id", "left").select("id", "v", (F.col("deleted") & F.col("_hit").isNull()).alias("deleted"), "slot")
 
 
-def replace_deleted(state: DataFrame, rows: DataFrame) -> DataFrame:
-    """New rows, by ascending id, take the least slots of deleted ones, whose ids vanish; the rest are inserted."""
-    require(rows.join(state, "id", "left_semi").select("id"), "an id is there already")
+def replace_deleted(state: DataFrame, rows: DataFrame, repeats: bool = False) -> DataFrame:
+    """New rows, by ascending id, take the least slots of deleted ones, whose ids vanish; the rest are inserted.
+
+    A known id is an error, unless repeats lets it have a row more.
+    """
+    if not repeats:
+        require(rows.join(state, "id", "left_semi").select("id"), "an id is there already")
     vacant = numbered(state.where("deleted").select("slot"), "slot", "_k")
     fresh = numbered(rows.select("id", "v"), "id", "_k")
     placed = fresh.join(vacant, "_k").select("id", "v", F.lit(False).alias("deleted"), "slot")
     kept = state.join(placed.select("slot"), "slot", "left_anti").select("id", "v", "deleted", "slot")
     rest = fresh.join(vacant, "_k", "left_anti").select("id", "v")
     out = kept.unionByName(placed)
-    return insert(out, rest) if not rest.isEmpty() else out
+    return insert(out, rest, repeats=repeats) if not rest.isEmpty() else out
 
 
 def remove(state: DataFrame, ids: DataFrame) -> DataFrame:
