@@ -57,6 +57,20 @@ def test_ties_short_and_empty(spark):
     assert exact.radius(base, q, 0.0).count() == 3 and exact.radius(base, q, 0.0, most=1).count() == 1
 
 
+def test_blocks_meet_in_every_partition(spark):
+    """Small shuffles are put together to one partition, which hid that the blocks of both sides were dealt differently."""
+    rng = np.random.default_rng(3)
+    base = frame(spark, enumerate(rng.normal(size=(300, 4)).tolist()))
+    asked = base.select(F.col("id").alias("query_id"), "v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = exact.ranked(exact.nearest_by_blocks(base, asked, 5, "l2"), 5).orderBy("query_id", "rank").collect()
+        graphed = graph.knn_graph(base, 5).count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == exact.knn(base, asked, 5).orderBy("query_id", "rank").collect() and graphed == 1500
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), unique=True))
 @settings(deadline=None, max_examples=100)
 def test_delta_codec(values):

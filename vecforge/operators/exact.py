@@ -137,8 +137,10 @@ def nearest_by_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str)
     least = max(1, int((2 * cores) ** 0.5))
     across, down = max(least, -(-asked // BLOCK_ROWS)), max(least, -(-rows // BLOCK_ROWS))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.select("query_id", "v", F.pmod(F.xxhash64("query_id"), F.lit(across)).alias("i"), every(down).alias("j"))
-    right = base.select("id", "v", every(across).alias("i"), F.pmod(F.xxhash64("id"), F.lit(down)).alias("j"))
+    # Both sides' numbers must have one type: an int and a long of equal value are dealt to different partitions.
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    left = queries.select("query_id", "v", block("query_id", across).alias("i"), every(down).alias("j"))
+    right = base.select("id", "v", every(across).alias("i"), block("id", down).alias("j"))
 
     def meet(one: pa.Table, two: pa.Table) -> pa.Table:
         ids, own = two.column("id").to_numpy(), one.column("query_id").to_numpy()
