@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vecforge.functions.distance import KERNELS
+from vecforge.plans.lineage import cut
 
 #: Bytes of query vectors that one block broadcasts at most, and of a query set that is broadcast at all; base rows that a kernel step holds.
 BLOCK_BYTES, QUERY_BYTES, STEP = 32_000_000, 256_000_000, 2048
@@ -197,6 +198,33 @@ def radius(base: DataFrame, queries: DataFrame, eps: float, metric: str = "l2",
     return ranked(scan(base, queries, metric, chosen_rows(keep)), most if most is not None else 2**31 - 1)
 
 
+def before(d: np.ndarray, ids: np.ndarray, dist: float, x: int) -> np.ndarray:
+    """Whether rows come before row x at a distance."""
+    return (d < dist) | ((d == dist) & (ids < x))
+
+
+def completed(found: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
+    """query_id, id, dist, rank: the rows that an approximate search found, with all that it missed: the k nearest of each query.
+
+    An exact check after the search, which compares every query with all rows allowed (base) and gives those alone that come
+    before the k-th row found and aren't among the found. Bounds are a row for each query of the stated set.
+    """
+    found = cut(found.select("query_id", "id", "dist", "rank"))
+    bounds = {r["query_id"]: (r["dist"], r["id"]) for r in found.where(F.col("rank") == k).collect()}
+    first = nearest(k)
+
+    def missed(_, q_ids, others, d):
+        ids, out = others[0], []
+        for i, q in enumerate(q_ids.tolist()):
+            at = np.flatnonzero(before(d[i], ids, *bounds[q])) if q in bounds else np.arange(len(ids))
+            at = at[first(d[i][at], ids[at])]
+            out.append((np.full(len(at), q), ids[at], d[i][at]))
+        return [np.concatenate(c) for c in zip(*out, strict=True)]
+
+    rest = scan(base, queries, metric, missed).join(found, ["query_id", "id"], "left_anti")
+    return ranked(found.drop("rank").unionByName(rest), k)
+
+
 def documents(base: DataFrame, queries: DataFrame, num_docs: int, metric: str = "l2") -> DataFrame:
     """The longest nearest prefix of each query with at most num_docs distinct doc_ids: base has id, v and doc_id.
 
@@ -232,7 +260,7 @@ def documents(base: DataFrame, queries: DataFrame, num_docs: int, metric: str =
         out = []
         for i, q in enumerate(q_ids.tolist()):
             dist, x = bounds.get(q, (np.inf, 0))
-            at = np.flatnonzero((d[i] < dist) | ((d[i] == dist) & (ids < x)))
+            at = np.flatnonzero(before(d[i], ids, dist, x))
             out.append((np.full(len(at), q), ids[at], d[i][at]))
         return [np.concatenate(c) for c in zip(*out, strict=True)]
 
