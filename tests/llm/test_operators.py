@@ -881,3 +881,11 @@ def test_words():
 
 def test_registered():
     assert {n.split("_")[0] for n in queries.queries()} == {f"op{i}" for i in range(1, 11)}
+
+
+def test_rounds_release_their_files(spark, monkeypatch):
+    """A path takes many rounds, each of which lets go of the files of the last; the components stay whole."""
+    called = []
+    monkeypatch.setattr(graph, "release", lambda s: called.append(s) or common.release(s))
+    found = graph.components(spark.range(60).selectExpr("id a", "id + 1 b"))
+    assert len(called) > 2 and {r["root"] for r in found.collect()} == {0} and found.count() == 61

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, meet
+from .common import cut, meet, release
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -27,6 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         now = cut(small.where("a <> b").distinct())
         new = now.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("s")).first()
+        # The round's frames go, and their files with them.
+        both = least = large = joined = small = None
+        release(now.sparkSession)
         if new == mark:
             break
         mark, n = new, new["n"]

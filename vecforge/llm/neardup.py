@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NONSPACE, chunks, cut, mixed, stored, table, text_buffer, words
+from .common import LOWER, NONSPACE, chunks, cut, mixed, release, stored, table, text_buffer, words
 from .graph import components
 from .substrings import packed
 
@@ -224,11 +224,15 @@ def groups(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     ends = F.when(F.col("n") <= FEW, F.array("lo", "hi")).otherwise(F.array("lo"))
     edges = keys.join(shared, "key").select("node", (F.col("n") <= FEW).alias("few"), F.explode(ends).alias("end")).where("node <> end")
     edges = cut(edges.groupBy(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).agg(F.min("few").alias("few")))
+    keys = shared = None
+    release(documents.sparkSession)
     near = near_pairs(edges.where("few").select("a", "b"), classes).unionByName(edges.where("not few").select("a", "b"))
     family = components(near).select("node", F.col("root").alias("family"))
     parts = family.groupBy("family").agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
     members = cut(family.join(parts, "family").join(classes.select("node", "one.*"), "node").select("node", "family", "parts", "k1", "k2"))
     found = cut(family_links(members, documents, k, num, den))
+    near = family = parts = None
+    release(documents.sparkSession)
     if members.where("parts > 1").isEmpty():
         roots = found
     else:
