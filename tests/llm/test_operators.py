@@ -889,3 +889,26 @@ def test_rounds_release_their_files(spark, monkeypatch):
     monkeypatch.setattr(graph, "release", lambda s: called.append(s) or common.release(s))
     found = graph.components(spark.range(60).selectExpr("id a", "id + 1 b"))
     assert len(called) > 2 and {r["root"] for r in found.collect()} == {0} and found.count() == 61
+
+
+def test_python_gets_small_batches(spark, sf, tmp_path, monkeypatch):
+    """Whatever near-duplicate groups and packing hand to Python comes in batches of few bytes; the session's setting comes back."""
+    monkeypatch.setattr(common, "BATCH_BYTES", 50_000)
+    held, run = [], lambda batches: (pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"]) for b in batches)
+    for module in (neardup, packing):
+        for name in {"stored", "cut"} & set(vars(module)):
+            monkeypatch.setattr(module, name, lambda df, f=getattr(module, name): held.append(df.sparkSession.conf.get(common.BATCH_LIMIT)) or f(df))
+    before = spark.conf.get(common.BATCH_LIMIT)
+    assert packing.query(spark, sf).count()
+    assert len(held) > 4 and set(held) == {"50000"} and spark.conf.get(common.BATCH_LIMIT) == before
+    texts_ = spark.range(400).select(F.lit("word " * 200).alias("text")).coalesce(1)
+    with common.small_batches(spark):
+        sizes = [r["n"] for r in texts_.mapInArrow(run, "n long").collect()]
+    assert sum(sizes) > 400_000 and max(sizes) < 60_000
+    assert [r["n"] for r in texts_.mapInArrow(run, "n long").collect()] == [pytest.approx(sum(sizes), rel=0.1)]
+
+
+def test_keys_are_made_in_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "KEYED", 10)
+    assert neardup.spread(spark.range(400).coalesce(1)).rdd.getNumPartitions() == 40
+    assert neardup.spread(spark.range(0)).count() == 0

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NONSPACE, chunks, cut, mixed, release, stored, table, text_buffer, words
+from .common import LOWER, NONSPACE, chunks, cut, mixed, release, small_batches, stored, table, tasks, text_buffer, words
 from .graph import components
 from .substrings import packed
 
@@ -36,6 +36,8 @@ CHUNKS, WIDTH = 14, 5
 SYMBOLS = CHUNKS * WIDTH
 #: Classes of a key whose pairs are enumerated; sets that a block holds, and sets of a bucket of small families.
 FEW, BLOCK, BUCKET = 3, 1024, 2048
+#: Classes whose keys one task makes on average: a task pre-aggregates SYMBOLS keys of each, hardly any of them equal, at some 130 bytes.
+KEYED = 10_000
 _RNG = np.random.default_rng(20240607)
 FACTORS = _RNG.integers(1, 1 << 63, SYMBOLS, np.uint64) * np.uint64(2) + np.uint64(1)
 FLIPS = _RNG.integers(0, 1 << 63, SYMBOLS, np.uint64)
@@ -116,6 +118,11 @@ def chunk_keys(classes: DataFrame) -> DataFrame:
     return classes.select("node", "sign").mapInArrow(run, "node long, key long")
 
 
+def spread(classes: DataFrame) -> DataFrame:
+    """The classes in tasks of about KEYED rows; a checkpoint's tasks are made for its own bytes, a small part of what the keys take."""
+    return classes.repartition(max(tasks(classes.sparkSession), -(-classes.count() // KEYED)))
+
+
 def near_pairs(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """The pairs whose signatures differ in fewer than 2 * CHUNKS symbols."""
 
@@ -216,10 +223,22 @@ def family_links(members: DataFrame, documents: DataFrame, k: int, num: int, den
 
 def groups(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id and kept, and the row key k1, k2."""
+    with small_batches(documents.sparkSession):
+        sketch, classes, roots = linked_classes(documents, k, num, den)
+    named = classes.join(roots, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
+    named = named.join(least, "root").select("digest", "component_id")
+    out = sketch.select("doc_id", "k1", "k2", "n", "digest").join(named, "digest", "left")
+    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "k1", "k2")
+
+
+def linked_classes(documents: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Sketches of the documents, their classes, and node and root of the classes that may have links; all of Python's work is done then."""
     sketch = stored(sketched(documents, k))
     classes = sketch.where("n > 0").groupBy("digest").agg(F.min("doc_id").alias("id"), F.min(F.struct("k1", "k2")).alias("one"), F.min("sign").alias("sign"))
     classes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
-    keys = chunk_keys(classes.where("sign is not null"))
+    keys = chunk_keys(spread(classes.where("sign is not null")))
     shared = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi")).where("n > 1")
     ends = F.when(F.col("n") <= FEW, F.array("lo", "hi")).otherwise(F.array("lo"))
     edges = keys.join(shared, "key").select("node", (F.col("n") <= FEW).alias("few"), F.explode(ends).alias("end")).where("node <> end")
@@ -238,12 +257,7 @@ def groups(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     else:
         # Blocks of one family gave parts of its components; they are joined over all.
         roots = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
-    named = classes.join(roots, "node", "left").select("digest", "id", F.coalesce("root", "node").alias("root"))
-    least = named.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = named.join(least, "root").select("digest", "component_id")
-    out = sketch.select("doc_id", "k1", "k2", "n", "digest").join(named, "digest", "left")
-    component = F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"), "k1", "k2")
+    return sketch, classes, roots
 
 
 def dedup(documents: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:

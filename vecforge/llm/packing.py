@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import stored, table
+from .common import small_batches, stored, table
 from .substrings import keyed
 from .token_files import encoder
 
@@ -142,7 +142,9 @@ def sequences(pieces: DataFrame, tokens: DataFrame) -> DataFrame:
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters are op1's groups of near copies, of five words and 0.8; only counts and keys are shuffled to meet them."""
     docs = table(spark, sf_dir, "documents")
-    counted = stored(keyed(docs.select("doc_id", "text", "source"), "source").select("k1", "k2", "doc_id", "source", F.xxhash64("text").alias("own"), library_tokens().alias("n")).where("n > 0"))
     groups = neardup.groups(docs).where("component_id is not null").select("k1", "k2", "component_id").dropDuplicates(["k1", "k2"])
+    # Tokens are counted last, as the workers keep the encoder and the pieces that it has met.
+    with small_batches(spark):
+        counted = stored(keyed(docs.select("doc_id", "text", "source"), "source").select("k1", "k2", "doc_id", "source", F.xxhash64("text").alias("own"), library_tokens().alias("n")).where("n > 0"))
     cluster = F.coalesce(F.when(F.col("component_id").isNotNull(), F.xxhash64(F.lit("cluster"), "component_id")), F.col("own"))
     return packed_rows(counted.join(groups, ["k1", "k2"], "left").select("doc_id", "source", cluster.alias("cluster"), "n"), counted.count())
