@@ -912,3 +912,11 @@ def test_keys_are_made_in_many_tasks(spark, monkeypatch):
     monkeypatch.setattr(neardup, "KEYED", 10)
     assert neardup.spread(spark.range(400).coalesce(1)).rdd.getNumPartitions() == 40
     assert neardup.spread(spark.range(0)).count() == 0
+
+
+def test_workers_give_memory_back(monkeypatch):
+    """After a task's last batch, when its own arrays are gone."""
+    order = []
+    monkeypatch.setattr(common, "give_back", lambda f=common.give_back: order.append("back") or f())
+    out = common.tidy(lambda batches: (order.append(b) or b + 1 for b in batches))([1, 2])
+    assert list(out) == [2, 3] and order == [1, 2, "back"]

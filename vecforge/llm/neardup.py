@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NONSPACE, chunks, cut, mixed, release, small_batches, stored, table, tasks, text_buffer, words
+from .common import LOWER, NONSPACE, chunks, cut, mixed, release, small_batches, stored, table, tasks, text_buffer, tidy, words
 from .graph import components
 from .substrings import packed
 
@@ -95,7 +95,7 @@ def sketched(documents: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), pa.array(sign, pa.binary())], ["doc_id", "k1", "k2", "n", "digest", "sign"])
 
     keyed = documents.select("doc_id", "text", F.coalesce(F.col("doc_id"), F.lit(0)).cast("long").alias("k1"), F.xxhash64("doc_id", "text", F.isnull("doc_id")).alias("k2"))
-    return keyed.mapInArrow(run, "doc_id long, k1 long, k2 long, n long, digest binary, sign binary")
+    return keyed.mapInArrow(tidy(run), "doc_id long, k1 long, k2 long, n long, digest binary, sign binary")
 
 
 def chunk_keys(classes: DataFrame) -> DataFrame:

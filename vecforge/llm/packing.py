@@ -20,6 +20,7 @@ different bins; they are dealt to shards by their place in the input, as nothing
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import neardup
-from .common import small_batches, stored, table
+from .common import give_back, small_batches, stored, table
 from .substrings import keyed
 from .token_files import encoder
 
@@ -44,12 +45,15 @@ def estimated_tokens() -> Column:
 def counted_tokens(tokenizer: str, specials: list[str]) -> Column:
     """Ids of each whole text with its end id, 0 for null and empty texts."""
 
-    def count(texts: pa.Array) -> pa.Array:
-        enc, out = encoder(tokenizer, specials), [np.empty(0, np.int64)]
-        for a in range(0, len(texts), 500):
-            part = [t or "" for t in texts.slice(a, 500).to_pylist()]
-            out.append(enc.encode(part)[1] * np.array([t != "" for t in part]))
-        return pa.array(np.concatenate(out))
+    def count(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        enc = encoder(tokenizer, specials)
+        for texts in batches:
+            out = [np.empty(0, np.int64)]
+            for a in range(0, len(texts), 500):
+                part = [t or "" for t in texts.slice(a, 500).to_pylist()]
+                out.append(enc.encode(part)[1] * np.array([t != "" for t in part]))
+            yield pa.array(np.concatenate(out))
+        give_back()
 
     # As a deterministic function it would run twice: for the filter and for the rows.
     return F.arrow_udf(count, "long").asNondeterministic()("text")
