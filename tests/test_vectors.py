@@ -90,6 +90,23 @@ def test_blocks_meet_in_every_partition(spark):
     assert got == exact.knn(base, asked, 5).orderBy("query_id", "rank").collect() and graphed == 1500
 
 
+def test_bounds_spare_pairs_and_lose_none(monkeypatch):
+    """All pairs were summed dimension by dimension, and 100,000 vectors didn't end in time."""
+    rng, summed = np.random.default_rng(5), []
+    real = exact.pair_distances
+    monkeypatch.setattr(exact, "pair_distances", lambda q, b, rows, cols: summed.append(len(rows)) or real(q, b, rows, cols))
+    x = rng.normal(size=(5000, 24))
+    odd = x[:700].copy()
+    odd[3, 2] = np.nan
+    cases = [(x[:1200], x), (x[:90] + 1e4, x + 1e4), (x[:90] * 1e30, x[:700] * 1e30), (x[:9], x[:4]), (x[:40], odd), (np.repeat(x[:2], 9, axis=0), np.repeat(x[:3], 500, axis=0)), *[(y[:200], y) for y in [rng.integers(0, 2, (4000, 14)).astype(float)]]]
+    for i, (q, b) in enumerate(cases):
+        ids, best = rng.permutation(len(b)), exact.Best(7, len(q))
+        best.add(ids, distance.np_l2(q, b))
+        got = exact.nearest_l2(q, b, ids, 7)
+        assert all(np.array_equal(a, c) for a, c in zip(got, best.rows(np.arange(len(q))), strict=True))
+        assert i or sum(summed) < 0.05 * len(q) * len(b)
+
+
 @given(st.lists(st.integers(0, 2**32 - 1), unique=True))
 @settings(deadline=None, max_examples=100)
 def test_delta_codec(values):

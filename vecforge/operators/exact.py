@@ -18,8 +18,12 @@ from vecforge.plans.lineage import cut
 
 #: Bytes of query vectors that one block broadcasts at most, and of a query set that is broadcast at all; base rows that a kernel step holds.
 BLOCK_BYTES, QUERY_BYTES, STEP = 32_000_000, 256_000_000, 2048
-#: Vectors of a block where both sides are dealt to blocks.
-BLOCK_ROWS = 8192
+#: Vectors of a block of queries and of the base, at most, where both sides are dealt to blocks.
+ASKED_ROWS, BLOCK_ROWS = 16384, 32768
+#: Queries and base rows of one matrix product; base rows of the first one, from which first bounds come; pairs whose distance is summed at once.
+ROWS, COLUMNS, FIRST, PAIRS = 1024, 2048, 512, 2048
+#: Rounding unit of single precision, and the greatest squared norm that it is used for.
+UNIT, LARGE = 2.0**-24, 1e37
 
 
 def matrix(column: pa.Array) -> np.ndarray:
@@ -30,6 +34,95 @@ def matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
 
 
+def pair_distances(q: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Squared distances of pairs of rows, summed from the first dimension on as the kernel does."""
+    out = np.empty(len(rows))
+    for a in range(0, len(rows), PAIRS):
+        d = q[rows[a : a + PAIRS]] - b[cols[a : a + PAIRS]]
+        d *= d
+        out[a : a + PAIRS] = np.add.accumulate(d, axis=1, out=d)[:, -1]
+    return out
+
+
+def first_copies(b: np.ndarray, k: int) -> np.ndarray:
+    """Ascending numbers of rows of which fewer than k equal ones come before: no other can be among the k nearest."""
+    _, kind = np.unique(np.ascontiguousarray(b).view(np.dtype((np.void, b.itemsize * b.shape[1]))).ravel(), return_inverse=True)
+    order = np.argsort(kind, kind="stable")
+    start = np.searchsorted(kind[order], kind[order])
+    return np.sort(order[np.arange(len(order)) - start < k])
+
+
+def by_row(rows: np.ndarray, n: int) -> np.ndarray:
+    """Places within their row of ascending row numbers under n."""
+    counts = np.bincount(rows, minlength=n)
+    return np.arange(len(rows)) - np.repeat(np.cumsum(counts) - counts, counts)
+
+
+def nearest_l2(q: np.ndarray, b: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Query numbers, ids and squared distances of the k nearest base rows of each query, ties to the smaller id.
+
+    A product of matrices in single precision gives a lower bound of every distance: it is off by less than a share of both
+    squared norms. Pairs whose bound is above the k-th distance that the query has seen can't be among its k nearest; the
+    distances of all others are summed in doubles as everywhere, and they alone count. Norms that single precision can't
+    hold, and NaN, go through the kernel.
+    """
+    qq, bb = (np.einsum("ij,ij->i", x, x) for x in (q, b))
+    if not q.shape[1] or not (np.all(qq < LARGE) and np.all(bb < LARGE)):
+        best = Best(k, len(q))
+        for a in range(0, len(ids), STEP):
+            best.add(ids[a : a + STEP], KERNELS["l2"](q, b[a : a + STEP]))
+        return tuple(best.rows(np.arange(len(q))))
+    order = np.argsort(ids, kind="stable")
+    order = order[first_copies(b[order], k)]
+    b, bb, ids = b[order], bb[order], ids[order]
+    share = 4 * (q.shape[1] + 8) * UNIT
+    left = np.hstack([-2 * q, np.ones((len(q), 1))]).astype(np.float32)
+    right = np.ascontiguousarray(np.hstack([b, (bb * (1 - share))[:, None]]).astype(np.float32).T)
+    edges = [0, *range(min(FIRST, len(ids)), len(ids), COLUMNS), len(ids)]
+    room, parts = np.empty(ROWS * COLUMNS, np.float32), []
+    for at in range(0, len(q), ROWS):
+        own, n = q[at : at + ROWS], len(q[at : at + ROWS])
+        base = qq[at : at + ROWS] * (1 - share)
+        bound = np.full(n, np.inf)
+        rows, cols, dist = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        fresh, waiting = [], 0
+        for a, e in zip(edges, edges[1:], strict=False):
+            low = np.matmul(left[at : at + ROWS], right[:, a:e], out=room[: n * (e - a)].reshape(n, e - a))
+            if a == 0 and e > k:
+                near = np.argpartition(low, k - 1, axis=1)[:, :k]
+                bound = pair_distances(own, b, np.repeat(np.arange(n), k), near.ravel()).reshape(n, k).max(axis=1)
+            most = bound - base
+            most = np.nextafter((most + 1e-30).astype(np.float32), np.float32(np.inf))
+            hit = np.flatnonzero(low <= most[:, None])
+            fresh.append((hit // (e - a), hit % (e - a) + a))
+            waiting += len(hit)
+            if waiting < n * k // 2 and e < len(ids):
+                continue
+            r, c = (np.concatenate(x) for x in zip(*fresh, strict=True))
+            fresh, waiting = [], 0
+            d = pair_distances(own, b, r, c)
+            # Of equal distances the smaller id wins, and ids ascend: a bound that earlier rows have set must be undercut.
+            new = d < bound[r] if len(rows) else d <= bound[r]
+            rows, cols, dist = (np.concatenate((x, y[new])) for x, y in ((rows, r), (cols, c), (dist, d)))
+            # Bounds need no order within a row; the end does, and so do ties beyond number.
+            ordered = e == len(ids) or len(rows) > 4 * n * k
+            by = np.lexsort((cols, dist, rows)) if ordered else np.argsort(rows.astype(np.uint16), kind="stable")
+            rows, cols, dist = rows[by], cols[by], dist[by]
+            place = by_row(rows, n)
+            if ordered:
+                last, keep = place == k - 1, place < k
+                bound[rows[last]] = np.minimum(bound[rows[last]], dist[last])
+            else:
+                held = np.full((n, max(k, place.max(initial=0) + 1)), np.inf)
+                held[rows, place] = dist
+                held.partition(k - 1, axis=1)
+                bound = np.minimum(bound, held[:, k - 1])
+                keep = dist <= bound[rows]
+            rows, cols, dist = rows[keep], cols[keep], dist[keep]
+        parts.append((rows + at, ids[cols], dist))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+
 def query_size(queries: DataFrame) -> tuple[int, int]:
     """Rows, and bytes of the vectors."""
     n, dim = queries.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
@@ -134,9 +227,11 @@ def nearest_scan(base: DataFrame, queries: DataFrame, k: int, metric: str) -> Da
 def nearest_by_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str) -> DataFrame:
     """The k nearest rows of each pair of blocks and query: both sides dealt to blocks of bounded size, no row through the driver."""
     cores, kernel = base.sparkSession.sparkContext.defaultParallelism, KERNELS[metric]
-    rows, asked = max(1, base.count()), max(1, queries.count())
-    least = max(1, int((2 * cores) ** 0.5))
-    across, down = max(least, -(-asked // BLOCK_ROWS)), max(least, -(-rows // BLOCK_ROWS))
+    (rows, wide), (asked, size) = query_size(base), query_size(queries)
+    least = max(1, int((4 * cores) ** 0.5))
+    # Blocks hold fewer rows of vectors so long that they would be over their bytes.
+    blocks = lambda n, size, most: max(least, -(-n // most), -(-size // BLOCK_BYTES))
+    across, down = blocks(asked, size, ASKED_ROWS), blocks(rows, wide, BLOCK_ROWS)
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     # Both sides' numbers must have one type: an int and a long of equal value are dealt to different partitions.
     block = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
@@ -146,12 +241,18 @@ def nearest_by_blocks(base: DataFrame, queries: DataFrame, k: int, metric: str)
     def meet(one: pa.Table, two: pa.Table) -> pa.Table:
         ids, own = two.column("id").to_numpy(), one.column("query_id").to_numpy()
         best = Best(k, len(own))
+        out = best.rows(own)
         if len(ids) and len(own):
             q, b = (matrix(t.column("v").combine_chunks()) for t in (one, two))
             same_dimensions(q, b)
-            for a in range(0, len(ids), STEP):
-                best.add(ids[a : a + STEP], kernel(q, b[a : a + STEP]))
-        return pa.table(dict(zip(("query_id", "id", "dist"), (pa.array(c) for c in best.rows(own)), strict=True)))
+            if metric == "l2":
+                at, found, dist = nearest_l2(q, b, ids, k)
+                out = [own[at], found, dist]
+            else:
+                for a in range(0, len(ids), STEP):
+                    best.add(ids[a : a + STEP], kernel(q, b[a : a + STEP]))
+                out = best.rows(own)
+        return pa.table(dict(zip(("query_id", "id", "dist"), (pa.array(c) for c in out), strict=True)))
 
     return left.groupBy("i", "j").cogroup(right.groupBy("i", "j")).applyInArrow(meet, CANDIDATES)
 
