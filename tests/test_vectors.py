@@ -270,6 +270,22 @@ def test_graph_prefetch(spark):
     assert got == {k: (len(v), sum(soon(*x) for x in v)) for k, v in (("one_hop", one), ("two_hop", two), ("lookahead", ahead))}
 
 
+def test_prefetch_makes_no_row_for_each_fetch(spark, monkeypatch):
+    """Pairs of nodes are counted along the trace, over the ends of its stretches too."""
+    monkeypatch.setattr(caches, "STRETCH", 7)
+    rng = np.random.default_rng(7)
+    nodes = [*rng.integers(-2, 6, 60).tolist(), None, 3, None, 70]
+    trace = [(i + 1, n) for i, n in enumerate(nodes)]
+    got = {tuple(r)[:3]: r["n"] for r in caches.followers(spark.createDataFrame(trace, "seq long, node long"), 5).collect()}
+    want: dict[tuple, int] = {}
+    for i in range(len(nodes)):
+        soon = {n for n in nodes[i + 1 : i + 6] if n is not None}
+        for ahead, a in ((False, nodes[i]), (True, nodes[i + 1] if i + 1 < len(nodes) else None)):
+            for b in ({None} | soon) if a is not None else ():
+                want[ahead, a, b] = want.get((ahead, a, b), 0) + 1
+    assert got == want
+
+
 def test_files_by_ranges(spark, tmp_path):
     """Written by partitions, read by ranges; damaged files are an error where the range is read."""
     for kind, rows in (("fvecs", np.arange(90, dtype=np.float32).reshape(30, 3)), ("bvecs", (np.arange(90) % 256).reshape(30, 3)), ("ivecs", np.arange(90).reshape(30, 3) - 40)):

@@ -13,8 +13,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from vecforge.plans.lineage import cut
+
 #: Factor by which heat decays at an access and at a query's end; heats above which a block is hot, warm, or counts at all.
 DECAY, HOT, WARM, COLD = 0.995, 10.0, 1.0, 0.01
+#: Accesses of a stretch of the trace that one group holds.
+STRETCH = 50_000
 
 
 class Lru:
@@ -152,25 +156,69 @@ def stack_distances(blocks: list[int]) -> np.ndarray:
     return out
 
 
+def followers(trace: DataFrame, window: int) -> DataFrame:
+    """ahead, src, dst, n: accesses of node src, and of those before one of src if ahead, with dst among the next so many accesses.
+
+    A null dst counts all accesses. Stretches of the trace are groups of bounded size, each with the accesses that its last
+    ones look at; a node counts by its first access after each.
+    """
+    size = max(STRETCH, window)
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        at = group.column("seq").to_numpy() - key[0].as_py() * size
+        nodes, own = np.unique(group.column("node").drop_null().to_numpy(), return_inverse=True)
+        node, there = np.full(size + window, -1), np.zeros(size + window, bool)
+        there[at], node[at[group.column("node").is_valid().to_numpy()]] = True, own
+        before = np.full(len(node), -1)
+        by = np.argsort(node, kind="stable")
+        same = node[by][1:] == node[by][:-1]
+        before[by[1:][same]] = by[:-1][same]
+        owner, following = np.arange(size), [node, np.append(node[1:], -1)]
+        held: list[list[np.ndarray]] = [[], []]
+        for gap in range(1, window + 1):
+            first = there[:size] & (node[gap : gap + size] >= 0) & (before[gap : gap + size] <= owner)
+            for kind, keys in enumerate(held):
+                met = first & (following[kind][:size] >= 0)
+                keys.append(following[kind][:size][met] * len(nodes) + node[gap : gap + size][met])
+        out = []
+        for kind, keys in enumerate(held):
+            code, n = np.unique(np.concatenate(keys), return_counts=True) if len(nodes) > 2000 else counted(np.concatenate(keys), len(nodes) ** 2)
+            calls, m = counted(following[kind][:size][there[:size] & (following[kind][:size] >= 0)], len(nodes))
+            src, dst = nodes[np.concatenate((code // max(1, len(nodes)), calls))], pa.array(nodes[code % max(1, len(nodes))], pa.int64())
+            out.append(pa.table({"ahead": pa.array(np.full(len(src), kind == 1)), "src": pa.array(src, pa.int64()), "dst": pa.chunked_array([dst, pa.nulls(len(calls), pa.int64())]), "n": pa.array(np.concatenate((n, m)), pa.int64())}))
+        return pa.concat_tables(out)
+
+    part = F.floor(F.col("seq") / size)
+    parts = F.explode(F.when(F.col("seq") % size < window, F.array(part, part - 1)).otherwise(F.array(part))).alias("part")
+    return trace.select("seq", F.col("node").cast("long").alias("node"), parts).groupBy("part").applyInArrow(run, "ahead boolean, src long, dst long, n long").groupBy("ahead", "src", "dst").agg(F.sum("n").alias("n"))
+
+
+def counted(keys: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers under n that occur, and how often."""
+    counts = np.bincount(keys, minlength=n)
+    return np.flatnonzero(counts), counts[counts > 0]
+
+
 def graph_prefetch(trace: DataFrame, edges: DataFrame, window: int, first: int = 8) -> DataFrame:
     """What prefetches along a graph would fetch at each access of a node, and how many of those are needed soon after.
 
-    trace: seq (dense) and node; edges: src, dst, pos. one_hop fetches all neighbours, two_hop those of the first so many
+    trace: seq (dense, from 0 or 1) and node; edges: src, dst, pos. one_hop fetches all neighbours, two_hop those of the first so many
     neighbours too, lookahead the neighbours of the node that is accessed next. Needed: accessed within so many accesses.
+
+    What an access fetches follows from its node alone, so that nodes' sets meet counts of nodes and of pairs of them; no row
+    is made for an access and what it fetches.
     """
-    steps = trace.select("seq", F.col("node").alias("src"))
-    one = steps.join(edges.select("src", "dst"), "src").select("seq", "dst")
-    near = edges.where(F.col("pos") <= first).select("src", F.col("dst").alias("mid"))
-    two = steps.join(near, "src").join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("seq", "dst")
-    ahead = trace.select((F.col("seq") - 1).alias("seq"), F.col("node").alias("src")).join(steps.select("seq"), "seq", "left_semi").join(edges.select("src", "dst"), "src").select("seq", "dst")
-    kinds = [("one_hop", one), ("two_hop", one.unionByName(two)), ("lookahead", ahead)]
-    wanted = kinds[0][1].select(F.lit(kinds[0][0]).alias("kind"), "seq", "dst")
-    for name, rows in kinds[1:]:
-        wanted = wanted.unionByName(rows.select(F.lit(name).alias("kind"), "seq", "dst"))
-    wanted = wanted.distinct()
-    # A use within the window lies in this stretch of the trace or the next one: an equi-join by stretch.
-    stretch = F.explode(F.array(F.floor(F.col("seq") / window), F.floor(F.col("seq") / window) + 1)).alias("part")
-    uses = trace.select(F.col("node").alias("dst"), F.col("seq").alias("used"), F.floor(F.col("seq") / window).alias("part"))
-    hit = wanted.select("kind", "seq", "dst", stretch).join(uses, ["dst", "part"]).where((F.col("used") > F.col("seq")) & (F.col("used") <= F.col("seq") + window))
-    useful = hit.select("kind", "seq", "dst").distinct().groupBy("kind").agg(F.count("*").alias("useful"))
-    return wanted.groupBy("kind").agg(F.count("*").alias("fetched")).join(useful, "kind", "left").select("kind", "fetched", F.coalesce("useful", F.lit(0)).alias("useful"))
+    counts = cut(followers(trace, window))
+    calls, pairs = counts.where("dst is null").drop("dst"), counts.where("dst is not null")
+    own = edges.join(calls.select("src").distinct(), "src", "left_semi").select("src", "dst", "pos")
+    one = own.select("src", "dst").distinct()
+    near = own.where(F.col("pos") <= first).select("src", F.col("dst").alias("mid"))
+    two = one.unionByName(near.join(edges.select(F.col("src").alias("mid"), "dst"), "mid").select("src", "dst")).distinct()
+    kinds = [("one_hop", False, one), ("two_hop", False, two), ("lookahead", True, one)]
+    wanted = None
+    for kind, ahead, rows in kinds:
+        rows = rows.select(F.lit(kind).alias("kind"), F.lit(ahead).alias("ahead"), "src", "dst")
+        wanted = rows if wanted is None else wanted.unionByName(rows)
+    fetched = wanted.groupBy("kind", "ahead", "src").agg(F.count("*").alias("size")).join(calls, ["ahead", "src"]).groupBy("kind").agg(F.sum(F.col("size") * F.col("n")).alias("fetched"))
+    useful = wanted.join(pairs, ["ahead", "src", "dst"]).groupBy("kind").agg(F.sum("n").alias("useful"))
+    return fetched.join(useful, "kind", "left").select("kind", "fetched", F.coalesce("useful", F.lit(0)).alias("useful"))
