@@ -171,6 +171,23 @@ def test_bfs_of_two_components(spark):
     assert {r["failures"] for r in checks.collect()} == {0}
 
 
+def test_bfs_needs_no_round_for_each_level(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    near = {i: [i + 1, *rng.permutation(i + 1)[:2].tolist()] for i in range(29)} | {29: [], 30: [31], 31: [2]}
+    edges = spark.createDataFrame([(a, b, i + 1) for a, bs in near.items() for i, b in enumerate(bs)], "src long, dst long, pos int")
+    nodes, jobs = spark.range(32).toDF("id"), lambda: len(spark.sparkContext.statusTracker().getJobIdsForGroup("bfs"))
+    spark.sparkContext.setJobGroup("bfs", "")
+    try:
+        got = [r["old_id"] for r in graph.bfs_order(nodes, edges, 0).orderBy("new_id").collect()]
+        assert jobs() < 29
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == queue_order(32, near, 0)
+    monkeypatch.setattr(graph, "WALKED_EDGES", 0)
+    short = edges.where("src < 4")
+    assert [r["old_id"] for r in graph.bfs_order(nodes, short, 0).orderBy("new_id").collect()] == queue_order(32, {a: b for a, b in near.items() if a < 4}, 0)
+
+
 def test_selection_rule():
     d = np.array([1.0, 1.1, 4.0])
     among = np.array([[0, 0.1, 9], [0.1, 0, 9], [9, 9, 0]])

@@ -16,6 +16,8 @@ from vecforge.plans.lineage import cut
 
 #: Buckets of sources whose offsets are broadcast, at most.
 OFFSET_BUCKETS = 10_000
+#: Edges of a graph that one task walks as arrays, at most (about 100 MB).
+WALKED_EDGES = 4_000_000
 
 
 def knn_graph(base: DataFrame, k: int, metric: str = "l2") -> DataFrame:
@@ -105,6 +107,41 @@ def level(id_column: str = "id", m: int = 16, seed: int = 100) -> F.Column:
 def bfs_order(nodes: DataFrame, edges: DataFrame, start: int) -> DataFrame:
     """old_id and new_id: breadth-first from a node over neighbour lists in order, unreached nodes by id at the end.
 
+    Up to WALKED_EDGES edges are walked as arrays by one task; beyond, every round is a join over the cluster.
+    """
+    links = edges.select("src", "dst", "pos")
+    if 0 < links.count() <= WALKED_EDGES:
+        order = cut(links.coalesce(1).mapInArrow(lambda batches: walk(batches, start), "old_id long, new_id long"))
+        total = order.count()
+    else:
+        order, total = bfs_rounds(nodes, links, start)
+    rest = nodes.select(F.col("id").alias("old_id")).join(order, "old_id", "left_anti")
+    return order.unionByName(numbered(rest, "old_id", "k").select("old_id", (F.col("k") + total).alias("new_id")))
+
+
+def walk(batches, start: int):
+    """Nodes reached from a node and their numbers, in a queue's order, from all edges (src, dst, pos) as one list of batches."""
+    src, dst, pos = (np.concatenate(c) for c in zip(*([b.column(i).to_numpy() for i in range(3)] for b in batches), strict=True))
+    by = np.lexsort((pos, src))
+    ids = np.unique(np.concatenate((src, dst, [start])))
+    to = np.searchsorted(ids, dst[by])
+    ends = np.searchsorted(src[by], ids, side="right")
+    begins = np.searchsorted(src[by], ids)
+    frontier, seen, order = np.searchsorted(ids, [start]), np.zeros(len(ids), bool), []
+    while len(frontier):
+        seen[frontier] = True
+        order.append(frontier)
+        n = ends[frontier] - begins[frontier]
+        near = to[np.repeat(begins[frontier] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+        near = near[~seen[near]]
+        frontier = near[np.sort(np.unique(near, return_index=True)[1])]
+    reached = ids[np.concatenate(order)]
+    yield pa.RecordBatch.from_arrays([pa.array(reached, pa.int64()), pa.array(np.arange(len(reached)), pa.int64())], ["old_id", "new_id"])
+
+
+def bfs_rounds(nodes: DataFrame, edges: DataFrame, start: int) -> tuple[DataFrame, int]:
+    """The nodes reached from a node with their numbers, and how many they are.
+
     Each round expands one frontier by a join: of several discoveries the one by the earliest parent and position counts,
     which is a queue's order. As many rounds as the graph is deep.
     """
@@ -123,8 +160,7 @@ def bfs_order(nodes: DataFrame, edges: DataFrame, start: int) -> DataFrame:
             break
         total += n
         order = order.unionByName(frontier)
-    rest = nodes.select(F.col("id").alias("old_id")).join(order, "old_id", "left_anti")
-    return order.unionByName(numbered(rest, "old_id", "k").select("old_id", (F.col("k") + total).alias("new_id")))
+    return order, total
 
 
 def remap(edges: DataFrame, order: DataFrame) -> DataFrame:
