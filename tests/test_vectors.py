@@ -188,6 +188,27 @@ def test_bfs_needs_no_round_for_each_level(spark, monkeypatch):
     assert [r["old_id"] for r in graph.bfs_order(nodes, short, 0).orderBy("new_id").collect()] == queue_order(32, {a: b for a, b in near.items() if a < 4}, 0)
 
 
+def test_selection_over_many_lists_at_once(spark):
+    """Lists were a call of Python each; now several share a step, and a list goes on over batches."""
+    rng = np.random.default_rng(8)
+    vectors_ = rng.integers(0, 3, (40, 3)).astype(float)
+    rows = [(s, int(x), float(distance.np_l2(vectors_[s : s + 1], vectors_[x : x + 1])[0, 0])) for s in range(9) for x in rng.permutation(40)[: s * 3 + 1]]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 4)
+    try:
+        for most, least, over in ((3, 0, None), (4, 3, 6)):
+            want = set()
+            for s in range(9):
+                own = sorted((d, x) for a, x, d in rows if a == s)
+                v = vectors_[[x for _, x in own]]
+                kept = graph.select_neighbours(np.array([d for d, _ in own]), distance.np_l2(v, v), most) if over is None or len(own) > over else list(range(len(own)))
+                kept = sorted(kept + [i for i in range(len(own)) if i not in kept][: max(0, least - len(kept))])
+                want |= {(s, own[i][1], own[i][0], pos + 1) for pos, i in enumerate(kept)}
+            got = graph.diversified(spark.createDataFrame(rows, "src long, dst long, dist double"), frame(spark, enumerate(vectors_.tolist())), most, least=least, over=over)
+            assert {tuple(r) for r in got.collect()} == want and "FlatMapGroups" not in got._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_selection_rule():
     d = np.array([1.0, 1.1, 4.0])
     among = np.array([[0, 0.1, 9], [0.1, 0, 9], [9, 9, 0]])

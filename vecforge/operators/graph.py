@@ -46,28 +46,61 @@ def select_neighbours(d_base: np.ndarray, among: np.ndarray, m: int) -> list[int
 def diversified(edges: DataFrame, vectors: DataFrame, most: int, least: int = 0, metric: str = "l2", over: int | None = None) -> DataFrame:
     """Edges that the selection rule keeps of each source, filled up to least by the nearest; sources of degree at most over stay.
 
-    edges have dst vectors joined and are grouped by source: a group is a node's neighbour list, whose length is bounded.
+    edges have dst vectors joined and are dealt by source, many sources to a step; each row is compared with at most so many kept ones.
     """
-    kernel = KERNELS[metric]
     rows = edges.join(vectors.select(F.col("id").alias("dst"), "v"), "dst").select("src", "dst", "dist", "v")
 
-    def run(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("dist", "ascending"), ("dst", "ascending")])
-        n = len(group)
-        kept = list(range(n))
-        if over is None or n > over:
-            v = exact.matrix(group.column("v").combine_chunks())
-            kept = select_neighbours(group.column("dist").to_numpy(), kernel(v, v), most)
-            for i in range(n):
-                if len(kept) >= least:
-                    break
-                if i not in kept:
-                    kept.append(i)
-            kept.sort()
-        got = group.select(["src", "dst", "dist"]).take(pa.array(kept, pa.int64()))
-        return got.append_column("pos", pa.array(np.arange(1, len(kept) + 1), pa.int32()))
-
-    return rows.groupBy("src").applyInArrow(run, "src long, dst long, dist double, pos int")
+    def choose(batches: list) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches)
+        src = table.column("src").to_numpy()
+        group = np.cumsum(np.diff(src, prepend=src[0]) != 0)
+        kept = selected(group, table.column("dist").to_numpy(), exact.matrix(table.column("v").combine_chunks()), most, least, metric, over)
+        got = table.select(["src", "dst", "dist"]).take(pa.array(kept)).combine_chunks()
+        pos = pa.array(exact.by_row(group[kept], len(table)) + 1, pa.int32())
+        return pa.RecordBatch.from_arrays([*(c.combine_chunks() for c in got.columns), pos], ["src", "dst", "dist", "pos"])
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            src = batch.column(0).to_numpy()
+            if not len(src):
+                continue
+            # The last source's list may go on in the next batch.
+            last = int(np.searchsorted(src, src[-1]))
+            if last:
+                yield choose([*held, batch.slice(0, last)])
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield choose(held)
+
+    return rows.repartition("src").sortWithinPartitions("src", "dist", "dst").mapInArrow(run, "src long, dst long, dist double, pos int")
+
+
+def selected(group: np.ndarray, dist: np.ndarray, v: np.ndarray, most: int, least: int, metric: str, over: int | None) -> np.ndarray:
+    """Ascending numbers of the rows that the selection rule keeps of all groups at once; a group's rows ascend in distance.
+
+    Every round keeps the first row left of each group and drops those that are nearer to it than to the source.
+    """
+    size, kernel = np.bincount(group), KERNELS[metric]
+    kept = (size < most)[group] if over is None else ((size <= over) | (size < most))[group]
+    left, at = np.flatnonzero(~kept), np.zeros(len(size), np.int64)
+    for _ in range(most):
+        first = np.diff(group[left], prepend=-1) != 0
+        kept[left[first]], at[group[left[first]]] = True, left[first]
+        left = left[~first]
+        own = at[group[left]]
+        if metric == "l2":
+            d = exact.pair_distances(v, v, left, own)
+        else:
+            d = np.array([kernel(v[i : i + 1], v[j : j + 1])[0, 0] for i, j in zip(left, own, strict=True)])
+        left = left[d >= dist[left]]
+        if not len(left):
+            break
+    rest = np.flatnonzero(~kept)
+    lacking = least - np.bincount(group[kept], minlength=len(size))
+    kept[rest[exact.by_row(group[rest], len(size)) < lacking[group[rest]]]] = True
+    return np.flatnonzero(kept)
 
 
 def degree_cap(edges: DataFrame, most: int) -> DataFrame:
